@@ -23,17 +23,31 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in own]
+        self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+        # Letters of the Latin blocks go straight to the model if that gives what the whole tokenizer gives for a sample.
+        sample = "Straßenbahnéñü"
+        self.direct = self._letters(sample.lower()) == self.whole.encode(sample, add_special_tokens=False).ids
+
+    def _letters(self, word: str) -> list[int]:
+        shown = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
+        return [x.id for x in self.model.tokenize(shown)]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        if word.isascii() and (low := word.lower()) != word:
-            ids = self[low]
-        elif len(word) > 1 and word.isascii() and word[-1] in _PUNCTUATION and word[-2:-1].isalnum():
+        text = word.decode()
+        if self.direct and text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+            low = text.lower()
+            ids = self[low.encode()] if low != text else np.array(self._letters(text), dtype="<u4").tobytes()
+        elif len(text) > 1 and word[-1] in _PUNCTUATION and (text[-2].isalpha() and text[-2] != "\u0130" or word[-2:-1].isdigit()):
             ids = self[word[:-1]] + self[word[-1:]]  # a mark behind a letter or digit is a token of its own
         else:
-            ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[word] = ids
         return ids
 
