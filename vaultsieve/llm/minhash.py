@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     Documents with equal shingle sets form a class; classes are compared, not their members. Classes that share a band
     are candidates. Small buckets give their pairs; in large ones each class meets a few members chosen anew for each
-    band; pairs that pass the sketches are verified on full sets. Large buckets that are then still of several
+    band and keeps the one with the likest sketch; pairs that pass the sketches are verified on full sets. Large buckets that are then still of several
     components are compared in blocks, where every pair of different components is verified, so that no candidate is
     dropped however large its bucket is.
 
@@ -184,11 +184,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     small = members.where(F.col("m") <= SMALL).select("bucket", "cls")
     own = small.groupBy("bucket").agg(F.array_sort(F.collect_list("cls")).alias("all"))
     pairs = own.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
-    for i in range(HUBS):
-        hub = F.col(f"hub{i}")
-        pairs = pairs.union(members.where((F.col("m") > SMALL) & (F.col("cls") != hub)).select(F.least("cls", hub), F.greatest("cls", hub)))
+    hubs = members.where(F.col("m") > SMALL).select(F.col("cls").alias("a"), F.explode(F.array(*[F.col(f"hub{i}") for i in range(HUBS)])).alias("b")).where("a != b")
     sketches = classes.select("cls", "n", "sketch")
-    pairs = staged(agreeing(pairs.distinct(), sketches, percent, LEAST_AGREEMENT), "pairs")
+    # Of the members that a class met in large buckets, the likest is verified now; the blocks below settle what that leaves open.
+    likest = agreeing(hubs.distinct(), sketches, percent, LEAST_AGREEMENT).groupBy("a").agg(F.max(F.struct("share", "b"))["b"].alias("b"))
+    pairs = agreeing(pairs.distinct(), sketches, percent, LEAST_AGREEMENT).select("a", "b").union(likest.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    pairs = staged(pairs, "pairs")
     large = members.where(F.col("m") > SMALL).select("cls")
     involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large).distinct()
     ones = classes.join(involved, "cls").select("cls", F.col("one.doc_id").alias("doc_id"), F.col("one.tkey").alias("tkey"))
