@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, substrings, toxicity
+from . import html, minhash, mixing, packing, substrings, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_minhash, op3_toxicity, op5_substring_dedup, op9_packing]
+    found = [op1_mixing, op2_minhash, op3_toxicity, op4_html_text, op5_substring_dedup, op9_packing]
     return {f.__name__: f for f in found}
 
 
