@@ -31,7 +31,7 @@ def centres(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
 
 
 def pruned(points: np.ndarray, degree: int = DEGREE, slack: float = SLACK) -> list[np.ndarray]:
-    """Robust pruning: a point's nearest candidate becomes a neighbour, and candidates that are nearer to it (by the slack) than to the point are left out, and so on."""
+    """Robust pruning: a point's nearest candidate becomes a neighbour, and candidates that are nearer to it (by the slack) than to the point are left out, and so on. Edges go both ways, or points that no other chose could not be reached."""
     near = points @ points.T
     out = []
     for i in range(len(points)):
@@ -45,7 +45,9 @@ def pruned(points: np.ndarray, degree: int = DEGREE, slack: float = SLACK) -> li
             keep[0] = False
             order, far = order[keep], far[keep]
         out.append(np.array(chosen, np.int64))
-    return out
+    tails, heads = np.repeat(np.arange(len(out)), [len(x) for x in out]), np.concatenate([*out, np.zeros(0, np.int64)])
+    both = np.unique(np.concatenate([tails * len(out) + heads, heads * len(out) + tails])) if len(heads) else heads
+    return np.split(both % max(1, len(out)), np.searchsorted(both, np.arange(1, len(out)) * len(out)))
 
 
 def reach(points: np.ndarray, edges: np.ndarray, entry: np.ndarray, query: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
