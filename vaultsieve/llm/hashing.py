@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a string or binary column: first row, last row + 1, their bytes, offsets into these. A run ends at about `most` bytes; a longer text is a run of its own. Nulls are empty."""
     column = column.cast(pa.large_binary())
     if column.null_count:
