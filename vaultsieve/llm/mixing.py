@@ -43,8 +43,9 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
+    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken; with `carry`, also a struct `carried` of these columns of docs.
 
     Every document of a source is expected target / source_size times. Those expectations are summed along the
     documents of a source by size class, part and size, one offset in [0, 1) per source is added, and a document is
@@ -58,7 +59,7 @@ def mix_sources(
     like others. Repeated rows are documents of their own; tied ones differ in nothing. No rows give no rows. Other
     columns are left out.
     """
-    sizes = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    sizes = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else [])), "mix-sizes")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     cell = ["skey", "kind", "part"]
     sizes = (
@@ -79,7 +80,7 @@ def mix_sources(
     end = F.col("before") + F.col("place")
     crossed = F.floor(end * F.col("rate") + F.col("u")) - F.floor((end - 1) * F.col("rate") + F.col("u"))
     out = out.withColumn("copies", F.least(crossed, F.ceil("rate")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["carried"] if carry else []))
 
 
 #: The same in one statement, with plain windows over all rows.

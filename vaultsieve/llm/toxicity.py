@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import hashing
 from .common import staged
@@ -152,15 +153,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[np.nd
     return slots, weight, bias
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= 0.5) for every document; the whole text is read.
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted (score >= 0.5) for every document; the whole text is read. With `carry`, also a struct `carried` of these columns of docs.
 
     The model learns from labels (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0, on at most `sample` rows.
     A text's features are the distinct n-grams in it, whatever its length. A null or empty text has none and gets the
     offset's score. Repeated labels of an id: the highest counts. Null labels and labels of no document are left out,
     and a null id is not held out. No documents give no rows, no labels the score 1/3. Other columns are left out.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry or []]) if carry else F.lit(None).cast("struct<none:int>")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
     slots, weight, bias = train(docs, labels, sample)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +170,9 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             for first, last, row, slot in found(batch.column(1), slots):
                 total = np.bincount(row, weight[slot], minlength=last - first) + bias
                 value = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                own, carried = (batch.column(i).slice(first, last - first) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([own, pa.array(value), pa.array((value >= 0.5).astype(np.int32)), carried], names=["doc_id", "score", "predicted", "carried"])
 
-    out = docs.mapInArrow(apply, "doc_id long, score double, predicted int")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), docs.schema["carried"]])
+    out = docs.mapInArrow(apply, kinds)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", *(["carried"] if carry else []))
