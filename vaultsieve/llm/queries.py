@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html, minhash, mixing, neighbours, packing, substrings, suffixes, toxicity
+from . import embedding_dedup, html, minhash, mixing, neighbours, packing, quality, substrings, suffixes, toxicity
 from .common import ship, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_minhash, op3_toxicity, op4_html_text, op5_substring_dedup, op7_suffix_dedup, op8_neighbours, op9_packing, op10_embedding_dedup, pipeline]
+    found = [op1_mixing, op2_minhash, op3_toxicity, op4_html_text, op5_substring_dedup, op6_quality, op7_suffix_dedup, op8_neighbours, op9_packing, op10_embedding_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
