@@ -1,0 +1,72 @@
+"""Line-level detection, all in one row: signatures, entropy candidates, assignments to credential-like names."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from vaultsieve.functions import constants as C
+from vaultsieve.functions.text import entropy, strip
+
+#: A cheap test that every signature passes; most lines fail it, so the sixteen patterns are not tried.
+HEADS = r"AKIA|A3T|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA|gh[pousr]_|github_pat_|xox|[rs]k_|sk-|AIza|npm_|pypi-|-----BEGIN|hooks\.slack|discord\.com|SG\.|SK|dapi|hvs\."
+_FINDING = "array<struct<seq:int,type:string,evidence:string,severity:string,confidence:double,entropy:double,token:string>>"
+
+
+def is_skipped(stripped: Column) -> Column:
+    """Blank lines and comments; lines that start with two slashes are scanned."""
+    return (stripped == "") | stripped.startswith("#") | stripped.startswith("/*#")
+
+
+def looks_like_secret(token: Column, threshold: float = 4.0) -> Column:
+    """Length, distinct characters and character kinds are tested before entropy, the costly part."""
+    lower, upper, digit, special = (token.rlike(p) for p in (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[^\p{L}\p{N}]"))
+    kinds = sum((x.cast("int") for x in (upper, digit, special)), lower.cast("int"))
+    distinct = F.size(F.filter(F.array_distinct(F.split(token, "")), lambda c: c != ""))
+    return (F.length(token) >= 20) & (kinds >= 2) & (digit | special) & ~(lower & ~upper & ~digit) & (distinct > 3) & (entropy(token) >= threshold)
+
+
+def entropy_confidence(value: Column) -> Column:
+    return F.when(value.isNull(), 0.6).otherwise(0.6 + (F.greatest(F.least(value, F.lit(5.5)), F.lit(4.0)) - 4.0) * (0.2 / 1.5))
+
+
+def _finding(base: int, kind: str, evidence: str, severity: str, confidence: float | None = None):
+    """A function of a token and its place among its pattern's matches that makes a finding."""
+
+    def make(token: Column, at: Column) -> Column:
+        sure = F.lit(confidence) if confidence else entropy_confidence(entropy(token))
+        return F.struct((F.lit(base) + at).alias("seq"), F.lit(kind).alias("type"), F.lit(evidence).alias("evidence"), F.lit(severity).alias("severity"), sure.alias("confidence"), entropy(token).alias("entropy"), token.alias("token"))
+
+    return make
+
+
+def signature_findings(stripped: Column) -> Column:
+    tiers = [("critical", C.CRITICAL), ("high", C.HIGH)]
+    patterns = [(tier, name, pattern) for tier, of in tiers for name, pattern in of.items()]
+    found = [F.transform(F.regexp_extract_all(stripped, F.lit(p), F.lit(0)), _finding(1000 * i, name, "regex", tier, C.CONFIDENCE[tier])) for i, (tier, name, p) in enumerate(patterns)]
+    return F.when(stripped.rlike(HEADS), F.concat(*found)).otherwise(F.array().cast(_FINDING))
+
+
+def entropy_tokens(stripped: Column) -> Column:
+    """Tokens that look like secrets, after URLs are cut."""
+    return F.filter(F.regexp_extract_all(F.regexp_replace(stripped, C.URL, " "), F.lit(C.TOKEN), F.lit(0)), looks_like_secret)
+
+
+def candidate_findings(stripped: Column, tokens: Column) -> Column:
+    """Entropy candidates, then assigned values that are not among them; a value that is assigned twice counts twice."""
+    values = F.filter(F.regexp_extract_all(stripped, F.lit(C.ASSIGNMENT), F.lit(1)), lambda v: ~F.array_contains(tokens, v))
+    return F.concat(F.transform(tokens, _finding(100_000, "ENTROPY_CANDIDATE", "entropy", "info")), F.transform(values, _finding(200_000, "ML_CANDIDATE", "ml", "critical")))
+
+
+def scan_lines(lines: DataFrame) -> DataFrame:
+    """Findings of lines: all columns of `lines` and seq, type, evidence, severity, confidence, entropy, token, snippet.
+
+    A line with a signature gives no candidates, nor does a line of an armoured key's body. seq is the order of emission
+    in the line. No shuffle: a line's findings are an array in its own row, exploded at the end.
+    """
+    kept = lines.withColumn("stripped", strip(F.col("line"))).where(~is_skipped(F.col("stripped")))
+    kept = kept.withColumn("hits", signature_findings(F.col("stripped")))
+    kept = kept.withColumn("tokens", F.when((F.size("hits") > 0) | F.col("stripped").rlike(C.ARMOUR_BODY), None).otherwise(entropy_tokens(F.col("stripped"))))
+    kept = kept.withColumn("found", F.when(F.size("hits") > 0, F.col("hits")).when(F.col("tokens").isNotNull(), candidate_findings(F.col("stripped"), F.col("tokens"))))
+    kept = kept.select(*lines.columns, F.substring("stripped", 1, 200).alias("snippet"), F.explode("found").alias("f"))
+    return kept.select(*lines.columns, "f.*", "snippet")
