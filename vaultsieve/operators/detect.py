@@ -49,7 +49,7 @@ def signature_findings(stripped: Column) -> Column:
 
 def entropy_tokens(stripped: Column) -> Column:
     """Tokens that look like secrets, after URLs are cut."""
-    return F.filter(F.regexp_extract_all(F.regexp_replace(stripped, C.URL, " "), F.lit(C.TOKEN), F.lit(0)), looks_like_secret)
+    return F.filter(F.regexp_extract_all(F.regexp_replace(stripped, C.URL, " "), F.lit(C.TOKEN), F.lit(0)), lambda t: looks_like_secret(t))
 
 
 def candidate_findings(stripped: Column, tokens: Column) -> Column:
