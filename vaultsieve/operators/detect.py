@@ -10,7 +10,7 @@ from vaultsieve.functions.text import entropy, strip
 
 #: A cheap test that every signature passes; most lines fail it, so the sixteen patterns are not tried.
 HEADS = r"AKIA|A3T|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA|gh[pousr]_|github_pat_|xox|[rs]k_|sk-|AIza|npm_|pypi-|-----BEGIN|hooks\.slack|discord\.com|SG\.|SK|dapi|hvs\."
-_FINDING = "array<struct<seq:int,type:string,evidence:string,severity:string,confidence:double,entropy:double,token:string>>"
+_FINDING = "array<struct<seq:int,type:string,evidence:string,severity:string,sure:double,token:string>>"
 
 
 def is_skipped(stripped: Column) -> Column:
@@ -31,11 +31,10 @@ def entropy_confidence(value: Column) -> Column:
 
 
 def _finding(base: int, kind: str, evidence: str, severity: str, confidence: float | None = None):
-    """A function of a token and its place among its pattern's matches that makes a finding."""
+    """A function of a token and its place among its pattern's matches that makes a finding; without a confidence of its own, it follows from the entropy later."""
 
     def make(token: Column, at: Column) -> Column:
-        sure = F.lit(confidence) if confidence else entropy_confidence(entropy(token))
-        return F.struct((F.lit(base) + at).alias("seq"), F.lit(kind).alias("type"), F.lit(evidence).alias("evidence"), F.lit(severity).alias("severity"), sure.alias("confidence"), entropy(token).alias("entropy"), token.alias("token"))
+        return F.struct((F.lit(base) + at).alias("seq"), F.lit(kind).alias("type"), F.lit(evidence).alias("evidence"), F.lit(severity).alias("severity"), F.lit(confidence).cast("double").alias("sure"), token.alias("token"))
 
     return make
 
@@ -68,5 +67,6 @@ def scan_lines(lines: DataFrame) -> DataFrame:
     kept = kept.withColumn("hits", signature_findings(F.col("stripped")))
     kept = kept.withColumn("tokens", F.when((F.size("hits") > 0) | F.col("stripped").rlike(C.ARMOUR_BODY), None).otherwise(entropy_tokens(F.col("stripped"))))
     kept = kept.withColumn("found", F.when(F.size("hits") > 0, F.col("hits")).when(F.col("tokens").isNotNull(), candidate_findings(F.col("stripped"), F.col("tokens"))))
-    kept = kept.select(*lines.columns, F.substring("stripped", 1, 200).alias("snippet"), F.explode("found").alias("f"))
-    return kept.select(*lines.columns, "f.*", "snippet")
+    kept = kept.select(*lines.columns, F.substring("stripped", 1, 200).alias("snippet"), F.inline("found"))
+    kept = kept.withColumn("entropy", entropy(F.col("token")))
+    return kept.select(*lines.columns, "seq", "type", "evidence", "severity", F.coalesce("sure", entropy_confidence(F.col("entropy"))).alias("confidence"), "entropy", "token", "snippet")
