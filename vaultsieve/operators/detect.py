@@ -61,12 +61,13 @@ def scan_lines(lines: DataFrame) -> DataFrame:
     """Findings of lines: all columns of `lines` and seq, type, evidence, severity, confidence, entropy, token, snippet.
 
     A line with a signature gives no candidates, nor does a line of an armoured key's body. seq is the order of emission
-    in the line. No shuffle: a line's findings are an array in its own row, exploded at the end.
+    in the line. No shuffle: a line's findings are an array in its own row, exploded at the end (by an outer generator, as
+    the optimizer would else evaluate the array a second time, in a filter below).
     """
     kept = lines.withColumn("stripped", strip(F.col("line"))).where(~is_skipped(F.col("stripped")))
     kept = kept.withColumn("hits", signature_findings(F.col("stripped")))
     kept = kept.withColumn("tokens", F.when((F.size("hits") > 0) | F.col("stripped").rlike(C.ARMOUR_BODY), None).otherwise(entropy_tokens(F.col("stripped"))))
     kept = kept.withColumn("found", F.when(F.size("hits") > 0, F.col("hits")).when(F.col("tokens").isNotNull(), candidate_findings(F.col("stripped"), F.col("tokens"))))
-    kept = kept.select(*lines.columns, F.substring("stripped", 1, 200).alias("snippet"), F.inline("found"))
+    kept = kept.select(*lines.columns, F.substring("stripped", 1, 200).alias("snippet"), F.inline_outer("found")).where("seq is not null")
     kept = kept.withColumn("entropy", entropy(F.col("token")))
     return kept.select(*lines.columns, "seq", "type", "evidence", "severity", F.coalesce("sure", entropy_confidence(F.col("entropy"))).alias("confidence"), "entropy", "token", "snippet")
