@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import staged
+from .presence import Presence
 
 #: Rounds of expectation-maximisation, and the share of good documents assumed at first.
 ROUNDS, PRIOR = 25, 0.8
@@ -132,14 +133,13 @@ def fit_scorer(sample: DataFrame, prior: float, chance: np.ndarray, steps: int =
                 yield pa.RecordBatch.from_arrays([pa.array(good[first:last]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(slot.astype(np.int32)))], names=["good", "slots"])
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.asarray(x, np.int64) for x in part["slots"]]
-        size = np.array([len(x) for x in lists])
-        row, slot = np.repeat(np.arange(len(lists)), size), np.concatenate([*lists, np.zeros(0, np.int64)])
-        value, target = 1 / np.sqrt(size[row]), part["good"].to_numpy(float)
+        present, target = Presence(part["slots"], 1 << BITS), part["good"].to_numpy(float)
+        size = 1 / np.sqrt(np.maximum(1, present.sizes))
         weight, bias, moving = np.zeros(1 << BITS), float(np.log((target.sum() + 1) / (len(target) - target.sum() + 1))), np.zeros((1 << BITS) + 1)
         for _ in range(steps):
-            error = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * (weight + 0.9 * moving[:-1])[slot], minlength=len(lists)) + bias + 0.9 * moving[-1], -30, 30))) - target
-            slope = np.append(np.bincount(slot, value * error[row], minlength=1 << BITS), error.sum()) / len(lists)
+            ahead = size * present.times(weight + 0.9 * moving[:-1]) + bias + 0.9 * moving[-1]
+            error = 1 / (1 + np.exp(-np.clip(ahead, -30, 30))) - target
+            slope = np.append(present.turned(size * error), error.sum()) / len(target)
             moving = 0.9 * moving - 2.0 * slope
             weight, bias = weight + moving[:-1], bias + moving[-1]
         return pd.DataFrame({"weights": [weight.tolist()], "bias": [bias]})

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from . import hashing
 from .common import staged
+from .presence import Presence
 
 #: Lengths of n-grams, in bytes of the lower-cased text, and bits of their hash.
 LENGTHS, BITS = (3, 4, 5, 6), 20
@@ -93,11 +94,11 @@ def ratios(sample: DataFrame) -> DataFrame:
     return sums.orderBy(F.desc("chi"), "hash").limit(FEATURES).select("hash", "ratio")
 
 
-def fit(rows: np.ndarray, slots: np.ndarray, label: np.ndarray, scale: np.ndarray, rounds: int = 15, decay: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(present: Presence, label: np.ndarray, scale: np.ndarray, rounds: int = 15, decay: float = 0.1) -> tuple[np.ndarray, float]:
     """Logistic regression on scaled presence by truncated Newton steps: a weight for each slot (times its scale) and the offset. decay weighs half the squared weights against the sum of losses."""
-    n, m, value = len(label), len(scale), scale[slots]
-    times = lambda v: np.bincount(rows, value * v[slots], minlength=n) + v[-1]
-    turned = lambda e: np.append(np.bincount(slots, value * e[rows], minlength=m), e.sum())
+    n, m = len(label), len(scale)
+    times = lambda v: present.times(scale * v[:-1]) + v[-1]
+    turned = lambda e: np.append(scale * present.turned(e), e.sum())
     ridge = np.append(np.full(m, decay), 1e-6)
     weight = np.append(np.zeros(m), np.log((label.sum() + 1) / (n - label.sum() + 2)))
     loss = lambda v: float(np.logaddexp(0, (1 - 2 * label) * times(v)).sum() + (ridge * v * v).sum() / 2)
@@ -143,9 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[np.nd
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         # One group: the sample's size and its features are bounded by parameters.
-        lists = [np.asarray(x, np.int64) for x in part["slots"]]
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        weight, bias = fit(row, np.concatenate(lists), part["label"].to_numpy(float), scale)
+        weight, bias = fit(Presence(part["slots"], len(scale)), part["label"].to_numpy(float), scale)
         return pd.DataFrame({"weights": [weight.tolist()], "bias": [bias]})
 
     model = sample.mapInArrow(present, "label int, slots array<int>").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(solve, "weights array<double>, bias double").collect()
