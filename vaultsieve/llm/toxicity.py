@@ -42,7 +42,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 def found(column: pa.Array, slots: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a string column with the distinct (row, slot) pairs in them; slots maps a hash to a feature, or -1."""
-    for first, last, data, offsets in hashing.chunks(column, 1 << 20):
+    for first, last, data, offsets in hashing.chunks(column, 1 << 18):
         rows, kept = [], []
         for hashes, inside in grams(data, offsets):
             slot = slots[hashes]
@@ -160,18 +160,24 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     offset's score. Repeated labels of an id: the highest counts. Null labels and labels of no document are left out,
     and a null id is not held out. No documents give no rows, no labels the score 1/3. Other columns are left out.
     """
-    carried = F.struct(*[F.col(f"`{c}`") for c in carry or []]) if carry else F.lit(None).cast("struct<none:int>")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
-    slots, weight, bias = train(docs, labels, sample)
+    own = F.col(text_col).cast("string")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), own.alias("text"))
+    slots, weight, bias = train(whole, labels, sample)
+    # With documents to carry, the text travels once, within them.
+    within = carry.index(text_col) if carry and text_col in carry else None
+    carried = F.struct(*[own.alias(c) if c == text_col else F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *([] if within is not None else [own.alias("text")]), carried.alias("carried"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, row, slot in found(batch.column(1), slots):
+            held = batch.column(batch.num_columns - 1)
+            text = held.field(within) if within is not None else batch.column(1)
+            for first, last, row, slot in found(text, slots):
                 total = np.bincount(row, weight[slot], minlength=last - first) + bias
                 value = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
-                own, carried = (batch.column(i).slice(first, last - first) for i in (0, 2))
-                yield pa.RecordBatch.from_arrays([own, pa.array(value), pa.array((value >= 0.5).astype(np.int32)), carried], names=["doc_id", "score", "predicted", "carried"])
+                n = last - first
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), held.slice(first, n)], names=["doc_id", "score", "predicted", "carried"])
 
-    kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), docs.schema["carried"]])
-    out = docs.mapInArrow(apply, kinds)
+    kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), rows.schema["carried"]])
+    out = rows.mapInArrow(apply, kinds)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", *(["carried"] if carry else []))
