@@ -68,19 +68,19 @@ def compacted(repeated: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """doc_id, tkey, spans (array of first and last word position + 1): one span for each occurrence of a compacted path, wide enough for every window that holds one of its k-mers. A window that starts in two different texts is within a span of both."""
-    edges = rows.select("doc_id", "tkey", F.col("c1").alias("content"), F.inline(F.arrays_zip("kmer", "at", "gap", "prev", "next")))
+    """uid (of a row), spans (array of first and last word position + 1): one span for each occurrence of a compacted path, wide enough for every window that holds one of its k-mers. A window that starts in two different texts is within a span of both."""
+    edges = rows.select("uid", F.col("c1").alias("content"), F.inline(F.arrays_zip("kmer", "at", "gap", "prev", "next")))
     only = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(c)
     repeated = edges.groupBy("kmer").agg(only("next"), only("prev"), F.min("gap").alias("gap"), F.min("content").alias("low"), F.max("content").alias("high"))
     repeated = staged(repeated.where("low != high").drop("low", "high"), "repeated")
-    seen = edges.select("kmer", "doc_id", "tkey", "at").join(compacted(repeated), "kmer")
-    paths = seen.groupBy("doc_id", "tkey", "path", (F.col("at") - F.col("place")).alias("along")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    seen = edges.select("kmer", "uid", "at").join(compacted(repeated), "kmer")
+    paths = seen.groupBy("uid", "path", (F.col("at") - F.col("place")).alias("along")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
     span = F.struct(F.greatest(F.col("first") - (window - k), F.lit(0)).alias("first"), (F.col("last") + window).alias("last"))
-    return paths.groupBy("doc_id", "tkey").agg(F.collect_list(span).alias("spans"))
+    return paths.groupBy("uid").agg(F.collect_list(span).alias("spans"))
 
 
 def window_rows(suspects: DataFrame, window: int) -> DataFrame:
-    """doc_id, tkey, at, h1, h2 (128 bits of the window) for each window that lies in its document's spans."""
+    """doc_id, tkey, h1, h2 (128 bits of a window's words), ats (where it starts in the document): one row for each document and distinct window in its spans, so that a word said a thousand times is no thousand rows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,10 +95,17 @@ def window_rows(suspects: DataFrame, window: int) -> DataFrame:
                         keep[bounds[doc] + span["first"] : max(0, min(bounds[doc] + span["last"], bounds[doc + 1]) - window + 1)] = True
                 at = np.flatnonzero(keep)
                 doc = np.searchsorted(bounds, at, "right") - 1
-                both = [pa.array(hashing.run_hashes(items, window, base)[at].view(np.int64)) for base in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first:last][doc]), pa.array(keys[first:last][doc]), pa.array((at - bounds[doc]).astype(np.int32)), *both], names=["doc_id", "tkey", "at", "h1", "h2"])
+                h1, h2 = (hashing.run_hashes(items, window, base)[at] for base in (0, 1))
+                order = np.lexsort((h2, h1, doc))
+                at, doc, h1, h2 = (x[order] for x in (at, doc, h1, h2))
+                new = np.ones(len(at), bool)
+                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (doc[1:] != doc[:-1])
+                starts = np.flatnonzero(new)
+                ats = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)).astype(np.int32)), pa.array((at - bounds[doc]).astype(np.int32)))
+                own = first + doc[starts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(keys[own]), pa.array(h1[starts].view(np.int64)), pa.array(h2[starts].view(np.int64)), ats], names=["doc_id", "tkey", "h1", "h2", "ats"])
 
-    return suspects.mapInArrow(rows, "doc_id long, tkey long, at int, h1 long, h2 long")
+    return suspects.mapInArrow(rows, "doc_id long, tkey long, h1 long, h2 long, ats array<int>")
 
 
 def cut(suspects: DataFrame, window: int, texts: bool) -> DataFrame:
@@ -142,15 +149,15 @@ def dedup_substrings(docs: DataFrame, window: int = 50, k: int = K, id_col: str
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tkey"))
     key = ["doc_id", "tkey"]
-    rows = staged(document_rows(docs, window, k), "documents")
+    rows = staged(document_rows(docs, window, k).withColumn("uid", F.monotonically_increasing_id()), "documents")
     facts, rows = rows.select(*key, "n_words", "c1", "c2", "sha"), rows.where("doc_id is not null")
     firsts = facts.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source != high").drop("high")
     copies = staged(facts.join(firsts, ["c1", "c2"]).where("doc_id > source").select(*key).distinct(), "copies")
-    spans = repeated_spans(rows, window, k).join(copies, key, "left_anti")
+    spans = rows.select("uid", *key).join(repeated_spans(rows, window, k), "uid").drop("uid").join(copies, key, "left_anti").dropDuplicates(key)
     suspects = staged(docs.join(spans, key).select("doc_id", "text", "tkey", "spans"), "suspects")
     windows = staged(window_rows(suspects, window), "windows")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source != high").drop("high")
-    gone = windows.join(least, ["h1", "h2"]).where("doc_id > source").groupBy(key).agg(F.collect_set("at").alias("starts"))
+    gone = windows.join(least, ["h1", "h2"]).where("doc_id > source").groupBy(key).agg(F.flatten(F.collect_list("ats")).alias("starts"))
     hit = cut(suspects.drop("spans").join(gone, key).select("doc_id", "text", "tkey", "starts"), window, texts).dropDuplicates(key)
     if texts:
         hit = staged(hit, "cut")
