@@ -258,18 +258,19 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tkey"))
     key = ["doc_id", "tkey"]
-    rows = staged(document_rows(docs, length, k), "documents")
+    rows = staged(document_rows(docs, length, k).withColumn("uid", F.monotonically_increasing_id()), "documents")
     facts = rows.select(*key, "n_bytes", "c1", "c2", "sha")
     firsts = facts.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source != high").drop("high")
     copies = staged(facts.join(firsts, ["c1", "c2"]).where("doc_id > source").select(*key).distinct(), "copies")
-    grams = rows.where("doc_id is not null").select("doc_id", "tkey", "c1", F.posexplode("gram").alias("i", "gram"))
+    grams = rows.where("doc_id is not null").select("uid", "c1", F.posexplode("gram").alias("i", "gram"))
     spot = F.xxhash64("c1", "i").alias("spot")
     repeated = staged(grams.select("gram", spot).groupBy("gram").agg(F.min("spot").alias("a"), F.max("spot").alias("b")).where("a != b").select("gram"), "grams")
-    places = grams.select("gram", *key, "i").join(repeated, "gram").groupBy(key).agg(F.collect_list("i").alias("at_i"), F.count(F.lit(1)).alias("n"))
-    places = staged(places.join(copies, key, "left_anti"), "places")
+    places = grams.select("gram", "uid", "i").join(repeated, "gram").groupBy("uid").agg(F.collect_list("i").alias("at_i"), F.count(F.lit(1)).alias("n"))
+    places = rows.select("uid", *key).join(places, "uid").join(copies, key, "left_anti").dropDuplicates(key)
+    places = staged(places.select("uid", "at_i", "n"), "places")
     total = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entry = lambda x: F.struct(F.get("gram", x).alias("gram"), F.get("at", x).alias("at"), F.get("lo", x).alias("lo"), F.coalesce(F.get("lo", x + 1) - 1, F.col("n_bytes") - length).cast("int").alias("hi"))
-    hits = rows.join(places.select(*key, "at_i"), key).dropDuplicates(key).select(*key, F.transform("at_i", entry).alias("hits"))
+    hits = rows.join(places.select("uid", "at_i"), "uid").select(*key, F.transform("at_i", entry).alias("hits"))
     suspects = staged(docs.join(hits, key).dropDuplicates(key).select("doc_id", "text", "tkey", "hits"), "suspects")
     runs = staged(sorted_runs(suspects, length, k, max(1, -(-total // GROUP))), "runs")
     gone = repeats(runs, length, k).groupBy(key).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
