@@ -13,8 +13,8 @@ def entropy(text: Column) -> Column:
     """Shannon entropy in bits per character; 0 for the empty string, null for null."""
     n = F.length(text)
     kinds = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(kinds, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c))))
+    shares = F.transform(kinds, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
+    return F.when(n == 0, 0.0).otherwise(F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)))
 
 
 def strip(text: Column) -> Column:

@@ -85,7 +85,9 @@ def without_leaks(splits: dict[str, DataFrame], budget: float = 0.2) -> tuple[di
         for earlier in kept.values():
             rows = rows.join(earlier.select("token").distinct(), "token", "left_anti")
         kept[name] = rows
-        row = whole.agg(F.count(F.lit(1)).alias("before")).crossJoin(rows.agg(F.count(F.lit(1)).alias("after"))).select(F.lit(name).alias("split"), "before", "after", (F.col("before") - F.col("after") > budget * F.col("before")).alias("over_budget"))
+        both = whole.select(F.lit(0).alias("left")).unionByName(rows.select(F.lit(1).alias("left")))
+        row = both.agg(F.count_if(F.col("left") == 0).alias("before"), F.count_if(F.col("left") == 1).alias("after"))
+        row = row.select(F.lit(name).alias("split"), "before", "after", (F.col("before") - F.col("after") > budget * F.col("before")).alias("over_budget"))
         told = row if told is None else told.unionByName(row)
     return kept, told
 
@@ -128,10 +130,10 @@ def contrastive(records: DataFrame, key: str, share: float = 0.1, seed: int = 7)
 
 
 def best_token(line: Column) -> Column:
-    """The token of the line with the highest entropy (struct of token and entropy): long enough for its entropy, no placeholder; the earliest of equals."""
+    """The token of the line with the highest entropy (struct of token and entropy): long enough for its entropy, no placeholder; the earliest of equals (to nine places, so that the order of adding up decides nothing)."""
     floor = lambda t: F.when(F.length(t) <= 6, 3.2).when(F.length(t) >= 20, 2.0).otherwise(3.2 - (F.length(t) - 6) * (1.2 / 14))
     found = F.concat(*[F.regexp_extract_all(line, F.lit(p), F.lit(1)) for p in LINE_TOKENS])
-    good = F.filter(F.transform(found, lambda t: F.struct(t.alias("token"), entropy(t).alias("entropy"))), lambda x: (x["entropy"] >= floor(x["token"])) & ~x["token"].rlike(PLACEHOLDER))
+    good = F.filter(F.transform(found, lambda t: F.struct(t.alias("token"), F.round(entropy(t), 9).alias("entropy"))), lambda x: (x["entropy"] >= floor(x["token"])) & ~x["token"].rlike(PLACEHOLDER))
     none = F.struct(F.lit(None).cast("string").alias("token"), F.lit(0.0).alias("entropy"))
     return F.aggregate(good, none, lambda best, x: F.when(x["entropy"] > best["entropy"], x).otherwise(best))
 

@@ -23,7 +23,7 @@ def _sum(columns: Iterable[Column]) -> Column:
 def base(candidates: DataFrame, record: bool = False) -> DataFrame:
     """What several features are made of, computed once. record: by the rules for training records, which have no file around them."""
     made = candidates.withColumns({"full": X.full_context(), "token": F.coalesce("token", F.lit("")), "name": X.variable_name(c("line"), c("token"))})
-    made = made.withColumns({"n": F.length("token"), "ent": entropy(c("token")), "pre": before_first(c("line"), c("token")), "post": after_first(c("line"), c("token")), "path": F.lower("file"), "low": F.lower("full")})
+    made = made.withColumns({"n": F.length("token"), "ent": entropy(c("token")), "pre": before_first(c("line"), c("token")), "post": after_first(c("line"), c("token")), "path": F.lower("file"), "low": F.lower("full"), "near": near_tokens(c("full"))})
     if record:
         line, path = strip(c("line")), F.lower(F.coalesce("file", F.lit("")))
         count = F.size("before") + 1 + F.size("after")
@@ -225,11 +225,15 @@ def _mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
 
 
+def near_tokens(text: Column) -> Column:
+    """The first 20 tokens of a text with their entropies, which two features share."""
+    tokens = F.slice(F.regexp_extract_all(text, F.lit(C.NEARBY_TOKEN), F.lit(0)), 1, 20)
+    return F.transform(tokens, lambda t: F.struct(t.alias("t"), entropy(t).alias("e")))
+
+
 def density() -> dict[str, Column]:
-    tokens = F.slice(F.regexp_extract_all(c("full"), F.lit(C.NEARBY_TOKEN), F.lit(0)), 1, 20)
-    score = F.transform(tokens, lambda t: ((entropy(t) > 4.0) & (F.length(t) >= 20)).cast("double") + starts_any(t, C.KNOWN_PREFIXES).cast("double"))
-    first = F.slice(tokens, 1, 10)
-    return {"surrounding_secret_density": _mean(score), "surrounding_entropy_avg": _mean(F.transform(first, lambda t: entropy(t)))}
+    score = F.transform("near", lambda x: ((x["e"] > 4.0) & (F.length(x["t"]) >= 20)).cast("double") + starts_any(x["t"], C.KNOWN_PREFIXES).cast("double"))
+    return {"surrounding_secret_density": _mean(score), "surrounding_entropy_avg": _mean(F.slice(c("near.e"), 1, 10))}
 
 
 def surroundings() -> dict[str, Column]:

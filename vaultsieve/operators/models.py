@@ -60,9 +60,8 @@ def cross_validated(rows: DataFrame, k: int, columns: Sequence[str] = ORDER, rou
     for fold in range(k):
         model = trees(columns, rounds).fit(rows.where(F.col("fold") != fold))
         part = scored(model, rows.where(F.col("fold") == fold)).select("label", "score")
-        at = evaluation.threshold(part)
-        joined = part.crossJoin(F.broadcast(at))  # one row
-        made = joined.groupBy("threshold").agg(*evaluation.confusion(F.col("score") >= F.col("threshold")))
-        made = made.select(F.lit(fold).alias("fold"), "threshold", (F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))).alias("precision"), (F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))).alias("recall"))
+        at = float(evaluation.threshold(part).first()[0])
+        made = part.agg(*evaluation.confusion(F.col("score") >= at))
+        made = made.select(F.lit(fold).alias("fold"), F.lit(at).alias("threshold"), (F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))).alias("precision"), (F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))).alias("recall"))
         out = made if out is None else out.unionByName(made)
     return out.withColumn("f1", evaluation.f1(F.col("precision"), F.col("recall")))
