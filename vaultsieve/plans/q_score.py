@@ -11,6 +11,7 @@ from vaultsieve.plans import corpus, oracle
 from vaultsieve.plans.q_features import CAND, candidates
 from vaultsieve.plans.registry import query
 from vaultsieve.sources import records
+from vaultsieve.sources.package import ship
 from vaultsieve.streaming import limiter
 
 #: Scored rows made from orders; the text reads the same in both engines. Scores have three places, so there are ties.
@@ -480,6 +481,7 @@ def w_rate_window(spark, sf):
 @query("w_rate_exact")
 def w_rate_exact(spark, sf):
     """Decisions of the exact limiter on the events table; the streaming form keeps the same state."""
+    ship(spark)
     events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("client"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return limiter.limit(events, 86400, 2)
 
