@@ -107,9 +107,9 @@ def agreeing(pairs: DataFrame, sketches: DataFrame, percent: int, least: float)
     """Of pairs (a, b), those whose sizes allow the similarity and whose sketches agree well enough."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in filter(lambda b: b.num_rows, batches):
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            share = (x == y).mean(axis=1) if batch.num_rows else np.zeros(0)
+            share = (x == y).mean(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= least))
 
     a = sketches.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
