@@ -25,17 +25,12 @@ def number_lines(texts: DataFrame, text_col: str, ends: str = ANY_END) -> DataFr
 def lines_within(text: Column, max_bytes: int) -> Column:
     """Leading lines whose UTF-8 bytes, line ends as one byte each, stay within the limit; the first line beyond it and all after go."""
     lines = split_lines(text, FILE_END)
-    ended = text.rlike(r"(?s)[\n\r]$")
-    cost = lambda x, i: F.octet_length(x) + F.when((i < F.size(lines) - 1) | ended, 1).otherwise(0)
-    costs = F.transform(lines, cost)
-    state = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open"))
-    count = F.aggregate(
-        costs,
-        state,
-        lambda s, c: F.struct((s["sum"] + c).alias("sum"), F.when(s["open"] & (s["sum"] + c <= max_bytes), s["n"] + 1).otherwise(s["n"]).alias("n"), (s["open"] & (s["sum"] + c <= max_bytes)).alias("open")),
-        lambda s: s["n"],
-    )
-    return F.slice(lines, F.lit(1), count)
+    costs = F.transform(lines, lambda x: F.octet_length(x) + 1)
+    open_end = F.when(text.rlike(r"(?s)[\n\r]$"), 0).otherwise(1)
+    # (bytes so far, lines so far that are within the limit); once beyond it, no later sum is within.
+    state = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"))
+    end = F.aggregate(costs, state, lambda s, c: F.struct((s["sum"] + c).alias("sum"), (s["n"] + (s["sum"] + c <= max_bytes).cast("int")).alias("n")))
+    return F.when(F.octet_length(text) == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, F.lit(1), F.when(end["sum"] - open_end <= max_bytes, F.size(lines)).otherwise(end["n"])))
 
 
 def looks_binary(content: Column) -> Column:
