@@ -69,3 +69,16 @@ def test_acceptance(spark):
     assert evaluation.acceptance(table, {"per_type_metrics": 1}).first().decision == "GO"
     worse = table.withColumn("value", F.when(F.col("name") == "p", 0.5).otherwise(F.col("value")))
     assert evaluation.acceptance(worse, {"per_type_metrics": 1}, least=0.5).first().decision == "NO-GO"
+
+
+def test_two_stages_cross_validation_and_averages(spark, records):
+    rows = records.limit(600).withColumnRenamed("line_content", "line").withColumnsRenamed({"context_before": "before", "context_after": "after", "file_path": "file"}).withColumn("type", F.lit("ENTROPY_CANDIDATE"))
+    rows = features.with_features(rows.select("id", "label", "token", "line", "before", "after", "file", "type"), record=True)
+    parts = dataset.folds(rows, 2, ["label"], "id").cache()
+    folds = models.cross_validated(parts, 2, rounds=2).orderBy("fold").collect()
+    assert [r.fold for r in folds] == [0, 1] and all(r.f1 > 0.7 and 0 <= r.threshold <= 1 for r in folds)
+    first, second = models.two_stages(parts, rounds=2)
+    both = models.average([second, models.trees(rounds=5, depth=3, forest=True).fit(parts)], parts)
+    assert evaluation.auc(both).first()[0] > 0.9 and set(both.columns) == {*parts.columns, "score"}
+    routed = scoring.lazy_two_stage(models.scored(first, parts, "score_a"), lambda part: models.scored(second, part, "score_b"))
+    assert routed.count() == 600 and {r[0] for r in routed.select("stage").distinct().collect()} <= {"A", "B"}
