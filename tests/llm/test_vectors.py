@@ -76,3 +76,39 @@ def test_few_candidates_and_no_rows(spark, table):
     assert neighbours.nearest(table.where("false"), F.lit(True)).count() == 0
     assert embedding_dedup.duplicate_vectors(table.where("false")).count() == 0
     assert embedding_dedup.duplicate_vectors(table.where("vec_id > 899")).count() == 6
+
+
+def _against_all_pairs(spark, points, **options):
+    """Counts and components of duplicate_vectors, held against the full product."""
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(unit))
+    while (new := np.array([min([label[i], *label[x]]) for i, x in enumerate(linked)])).tolist() != label.tolist():
+        label = new
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>").repartition(3)
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.duplicate_vectors(table, **options).collect())
+    assert linked.any() and found == list(zip(range(len(unit)), linked.sum(axis=1).tolist(), label.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("bundle", [2**20, 64 * 400])
+def test_pairs_at_the_bound_are_found_among_many_shards(spark, monkeypatch, bundle):
+    monkeypatch.setattr(embedding_dedup, "BUNDLE", bundle)
+    r = np.random.default_rng(5)
+    points = r.normal(size=(3000, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    for i in range(0, 1000, 2):
+        aside = points[i + 1] - (points[i + 1] @ points[i]) * points[i]
+        points[i + 1] = 0.901 * points[i] + np.sqrt(1 - 0.901**2) * aside / np.linalg.norm(aside)
+    _against_all_pairs(spark, points, shard=10)
+
+
+def test_shards_out_of_the_angle_hold_no_links():
+    r = np.random.default_rng(6)
+    points = r.normal(size=(1500, 4))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    middle = embedding_dedup.centres(points[:200], 40)
+    home = np.argmax(points @ middle.T, axis=1)
+    can = embedding_dedup.in_angle(points, middle, home, 0.9)
+    a, b = np.nonzero(points @ points.T >= 0.9)
+    assert can[a, home[b]].all() and can.mean() < 0.7

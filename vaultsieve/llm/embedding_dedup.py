@@ -7,14 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unstage
 from .components import components
 from .vectors import digest, matrix, sampled, usable
 
-#: Rows that the shard centres are fitted on; centres at most; classes per centre and per block, about; shards that a class is in.
-SAMPLE, CENTRES, SHARD, OVERLAP = 8192, 1024, 1000, 3
-#: Out-degree in one shard, pruning slack, and width of the greedy search.
-DEGREE, SLACK, BEAM = 16, 1.2, 24
+#: Rows that the shard centres are fitted on; centres at most; classes per centre, about; vector components per bundle of shards.
+SAMPLE, CENTRES, SHARD, BUNDLE = 8192, 1024, 1000, 2**20
+#: Out-degree in one shard, pruning slack, and width of the greedy search; rounding of a cosine.
+DEGREE, SLACK, BEAM, ROUNDING = 16, 1.2, 24, 1e-12
 
 
 def centres(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
@@ -76,14 +76,47 @@ def reach(points: np.ndarray, edges: np.ndarray, entry: np.ndarray, query: np.nd
         pool, value = np.concatenate([pool, fresh]), np.concatenate([value, points[fresh] @ query])
 
 
-def duplicate_vectors(vectors: DataFrame, least: float = 0.9, overlap: int = OVERLAP, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row: links are pairs whose cosine, in double precision, is `least` or more.
+def chained(middle: np.ndarray) -> np.ndarray:
+    """The centres in an order in which each is the nearest left to the one before."""
+    left, order = np.ones(len(middle), bool), [0]
+    while len(order) < len(middle):
+        left[order[-1]] = False
+        order.append(int(np.argmax(np.where(left, middle @ middle[order[-1]], -np.inf))))
+    return np.array(order)
 
-    Equal vectors are one class. Each class is in the shards of its `overlap` nearest centres; a shard too large for a
-    task is dealt into blocks by a hash. Every block builds a robust-pruned graph; a class's adjacency lists from all its
-    blocks are united. A class then searches the blocks of all its shards from their medoids (and from its own
-    neighbours), and a class found in several shards counts once, in the first shard of the searcher's that holds it.
-    A task returns one count per searcher and the links that join its finds, fewer than its rows, not all pairs.
+
+def in_angle(points: np.ndarray, middle: np.ndarray, home: np.ndarray, least: float) -> np.ndarray:
+    """For each point and centre, whether a vector of cosine `least` or more with the point can have that centre as its nearest.
+
+    Vectors nearer to the centre c than to the point's own one, m, lie beyond the plane of equal products with both; the sine of the point's angle to it is its product with m - c, over the length of m - c.
+    """
+    if least <= 0:
+        return np.ones((len(points), len(middle)), bool)
+    scores = points @ middle.T
+    gap = scores[np.arange(len(points)), home][:, None] - scores
+    return gap <= np.sqrt(max(0.0, 1 - least * least)) * np.linalg.norm(middle[home][:, None] - middle[None], axis=2) + 1e-9
+
+
+def links_in(points: np.ndarray, padded: np.ndarray, entry: np.ndarray, query: np.ndarray, least: float, sure: np.ndarray) -> np.ndarray:
+    """The points in range by greedy search; its beam widens until it finds all that are known to be in range."""
+    beam = BEAM
+    while True:
+        hit = reach(points, padded, entry, query, least, beam)
+        if beam >= len(points) or np.isin(sure, hit).all():
+            return hit
+        beam *= 4
+
+
+def duplicate_vectors(vectors: DataFrame, least: float = 0.9, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row: links are all pairs whose cosine, in double precision, is `least` or more.
+
+    Equal vectors are one class. Each class is at home in the shard of its nearest centre; a shard too large for a task
+    is dealt into units by a hash. Every unit builds a robust-pruned graph. A class asks every shard that a vector within
+    the linking angle can have as its home, so no link is lost by the choice of shards; where directions are uniform these are
+    all shards, and the work grows with the square of the classes. Units are bundled, and of two bundles only the
+    first asks the second. In a bundle the product of askers and unit tells who has links there; these search the graph
+    from its entries, and a search that misses a link widens its beam. A task returns one count per class and the links
+    that join its finds, fewer than its rows, not all pairs.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and keep themselves. Repeated
     rows are equal vectors, linked with each other. A null id links with nothing. No rows give no rows. Other columns
@@ -97,77 +130,92 @@ def duplicate_vectors(vectors: DataFrame, least: float = 0.9, overlap: int = OVE
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = sampled(classes.withColumnRenamed("cls", "vec_id"), SAMPLE)
     sample = np.hstack([sample, np.zeros((len(sample), width - sample.shape[1]))])
-    middle = centres(sample, min(len(sample), CENTRES, max(1, -(-total // shard) * overlap)))
-    near = min(overlap, len(middle))
+    middle = centres(sample, min(len(sample), CENTRES, -(-total // shard)))
+    middle = middle[chained(middle)]
 
     def place(frames):
         for frame in frames:
             points = matrix(frame["v"], width)
             points /= np.linalg.norm(points, axis=1, keepdims=True)
-            frame["shards"] = np.argsort(-(points @ middle.T), axis=1, kind="stable")[:, :near].tolist()
+            frame["home"] = np.argmax(points @ middle.T, axis=1)
             frame["v"] = points.tolist()
             yield frame
 
-    placed = classes.select("cls", "copies", "v").mapInPandas(place, "cls long, copies long, v array<double>, shards array<long>")
-    placed = staged(placed, "placed")
-    sizes = placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (2 * shard)).alias("blocks"))
-    inside = placed.withColumn("shard", F.explode("shards")).join(F.broadcast(sizes), "shard")  # CENTRES rows at most
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
+    placed = staged(classes.select("cls", "copies", "v").mapInPandas(place, "cls long, copies long, v array<double>, home long"), "placed")
+    sizes = np.zeros(len(middle), np.int64)
+    for home, size in placed.groupBy("home").count().collect():  # CENTRES rows at most
+        sizes[home] = size
+    units = np.maximum(1, -(-sizes // (2 * shard)))
+    first = np.cumsum(units) - units
+    each = np.repeat(sizes / units, units)
+    bundle = ((np.cumsum(each) - each) // max(shard, BUNDLE // width)).astype(np.int64)
+    holds = np.zeros((len(middle), int(bundle[-1]) + 1), np.float32)
+    holds[np.repeat(np.arange(len(middle)), units), bundle] = 1
+    dealt = F.array(*[F.lit(int(x)) for x in units])
+    unit = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("home").cast("int") + 1) + F.pmod(F.xxhash64("cls"), F.element_at(dealt, F.col("home").cast("int") + 1))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        names = frame["cls"].to_numpy()
-        return pd.DataFrame({"cls": names, "edges": [names[x].tolist() for x in pruned(matrix(frame["v"], width))]})
-
-    edges = inside.select("shard", "block", "cls", "v").groupBy("shard", "block").applyInPandas(build, "cls long, edges array<long>")
-    united = staged(edges.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "adjacency")
-    inside = staged(inside.join(united, "cls"), "shards")
-    spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(c)
-    data = inside.select("shard", F.col("block").alias("j"), spread("i"), "cls", "copies", "v", "shards", "edges")
-    asked = inside.select("shard", F.col("block").alias("i"), spread("j"), "cls", "v", "shards", "edges")
+        frame = frame.sort_values("cls", kind="stable").reset_index(drop=True)
+        points, own = matrix(frame["v"], width), int(bundle[frame["unit"].iat[0]])
+        frame["edges"] = [x.tolist() for x in pruned(points)]
+        frame["entry"] = np.arange(len(points)) == np.argmax(points @ points.mean(axis=0))
+        frame["bundle"] = own
+        asks = []
+        for start in range(0, len(points), 64):
+            can = in_angle(points[start : start + 64], middle, frame["home"].to_numpy()[start : start + 64], least).astype(np.float32) @ holds > 0
+            asks += [np.flatnonzero(x[own:]) + own for x in can]
+        frame["asks"] = [x.tolist() for x in asks]
+        return frame[["cls", "copies", "v", "unit", "edges", "entry", "bundle", "asks"]]
+
+    graph = placed.withColumn("unit", unit.cast("long")).groupBy("unit").applyInPandas(build, "cls long, copies long, v array<double>, unit long, edges array<int>, entry boolean, bundle long, asks array<long>")
+    graph = staged(graph, "graphs")
+    unstage(placed)
+    asked = graph.select(F.col("bundle").alias("i"), F.explode("asks").alias("j"), *[F.col(c).alias(c) for c in ("cls", "copies", "v")])
+    pairs = graph.select(F.col("bundle").alias("i"), F.explode("asks").alias("j")).distinct()
+    data = graph.withColumnRenamed("bundle", "j").join(F.broadcast(pairs), "j").select("i", "j", "cls", "copies", "v", "unit", "edges", "entry")
 
     def search(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
+        links: dict[int, int] = {}
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         if len(data) and len(asked):
-            data = data.sort_values("cls", kind="stable")
-            names, points, copies = data["cls"].to_numpy(), matrix(data["v"], width), data["copies"].to_numpy()
-            lists = [np.asarray(x, np.int64) for x in data["edges"]]
-            flat = np.concatenate(lists)
-            at = np.searchsorted(names, flat).clip(max=len(names) - 1)
-            inner = np.where(names[at] == flat, at, -1)
-            counts = np.array([len(x) for x in lists])
-            padded = np.full((len(names), max(1, counts.max())), -1, np.int64)
-            padded[np.repeat(np.arange(len(names)), counts), np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)] = inner
-            medoid = int(np.argmax(points @ points.mean(axis=0)))
-            shard = int(data["shard"].iat[0])
-            homes = np.array([list(x) for x in data["shards"]])
-            root: dict[int, int] = {}
-
-            def top(x: int) -> int:
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for name, query, own, near_by in zip(asked["cls"], matrix(asked["v"], width), asked["shards"], asked["edges"], strict=True):
-                own = list(own)
-                known = np.append(np.asarray(near_by, np.int64), name)
-                at = np.searchsorted(names, known).clip(max=len(names) - 1)
-                entry = np.unique(np.append(at[names[at] == known], medoid))
-                hit = reach(points, padded, entry, query, least)
-                hit = hit[names[hit] != name]
-                tied = np.zeros(len(hit), bool)
-                for other in own[: own.index(shard)]:
-                    tied |= (homes[hit] == other).any(axis=1)  # counted in that shard
-                hit = hit[~tied]
-                for other in names[hit].tolist():
-                    a, b = top(name), top(other)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                found.append((name, int(copies[hit].sum()), name))
-            found += [(x, 0, top(x)) for x in list(root) if top(x) != x]
-        return pd.DataFrame(found, columns=["cls", "links", "root"], dtype="int64")
-
-    found = staged(data.groupBy("shard", "i", "j").cogroup(asked.groupBy("shard", "i", "j")).applyInPandas(search, "cls long, links long, root long"), "found")
+            same = data["i"].iat[0] == data["j"].iat[0]
+            who, weight, queries = asked["cls"].to_numpy(), asked["copies"].to_numpy(), matrix(asked["v"], width)
+            for _, part in data.groupby("unit"):
+                part = part.sort_values("cls", kind="stable")
+                names, copies, points = part["cls"].to_numpy(), part["copies"].to_numpy(), matrix(part["v"], width)
+                lists = [np.asarray(x, np.int64) for x in part["edges"]]
+                padded = np.full((len(lists), max(1, max(map(len, lists)))), -1, np.int64)
+                for x, line in zip(lists, padded, strict=True):
+                    line[: len(x)] = x
+                entry = np.flatnonzero(part["entry"].to_numpy())
+                got = np.zeros(len(names), np.int64)
+                for start in range(0, len(who), 1024):
+                    near = queries[start : start + 1024] @ points.T
+                    if same:
+                        near[who[start : start + 1024, None] == names] = -2
+                    for q in np.flatnonzero((near >= least - ROUNDING).any(axis=1)):
+                        name = int(who[start + q])
+                        hit = links_in(points, padded, entry, queries[start + q], least, np.flatnonzero(near[q] >= least + ROUNDING))
+                        hit = hit[names[hit] != name]
+                        links[name] = links.get(name, 0) + int(copies[hit].sum())
+                        if not same:
+                            got[hit] += weight[start + q]
+                        for other in names[hit].tolist():
+                            a, b = top(name), top(other)
+                            if a != b:
+                                root[max(a, b)] = min(a, b)
+                for at in np.flatnonzero(got):
+                    links[int(names[at])] = links.get(int(names[at]), 0) + int(got[at])
+        return pd.DataFrame([(x, links.get(x, 0), top(x)) for x in list(root)], columns=["cls", "links", "root"], dtype="int64")
+
+    found = staged(data.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInPandas(search, "cls long, links long, root long"), "found")
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")).where("a != b"))
     facts = classes.select("d1", "d2", "cls", "copies").join(counts, "cls", "left").join(roots.withColumnRenamed("id", "cls"), "cls", "left")
