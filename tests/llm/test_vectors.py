@@ -91,16 +91,16 @@ def _against_all_pairs(spark, points, **options):
     assert linked.any() and found == list(zip(range(len(unit)), linked.sum(axis=1).tolist(), label.tolist(), strict=True))
 
 
-@pytest.mark.parametrize("bundle", [2**20, 64 * 400])
+@pytest.mark.parametrize("bundle", [2**20, 64 * 1500])
 def test_pairs_at_the_bound_are_found_among_many_shards(spark, monkeypatch, bundle):
-    monkeypatch.setattr(embedding_dedup, "BUNDLE", bundle)
+    monkeypatch.setattr(embedding_dedup, "BUNDLE", bundle, raising=False)
     r = np.random.default_rng(5)
-    points = r.normal(size=(3000, 64))
+    points = r.normal(size=(6000, 64))
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    for i in range(0, 1000, 2):
+    for i in range(0, 6000, 2):
         aside = points[i + 1] - (points[i + 1] @ points[i]) * points[i]
         points[i + 1] = 0.901 * points[i] + np.sqrt(1 - 0.901**2) * aside / np.linalg.norm(aside)
-    _against_all_pairs(spark, points, shard=10)
+    _against_all_pairs(spark, points, shard=60)
 
 
 def test_shards_out_of_the_angle_hold_no_links():
@@ -112,3 +112,19 @@ def test_shards_out_of_the_angle_hold_no_links():
     can = embedding_dedup.in_angle(points, middle, home, 0.9)
     a, b = np.nonzero(points @ points.T >= 0.9)
     assert can[a, home[b]].all() and can.mean() < 0.7
+
+
+def test_links_between_tight_groups_larger_than_the_degree(spark):
+    r = np.random.default_rng(8)
+    heads = np.linalg.qr(r.normal(size=(32, 2)))[0].T
+    heads[1] = 0.92 * heads[0] + np.sqrt(1 - 0.92**2) * heads[1]
+    points = np.repeat(heads, 300, axis=0) + r.normal(size=(600, 32)) * 0.004
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    edges, entries = embedding_dedup.joined(unit, embedding_dedup.pruned(unit))
+    assert any((edges[i] >= 300).any() for i in range(300))
+    padded = np.full((600, max(map(len, edges))), -1)
+    for i, e in enumerate(edges):
+        padded[i, : len(e)] = e
+    for q in range(0, 600, 37):
+        assert set(embedding_dedup.reach(unit, padded, entries, unit[q], 0.9)) == set(np.flatnonzero(unit @ unit[q] >= 0.9))
+    _against_all_pairs(spark, points)

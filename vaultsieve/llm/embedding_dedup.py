@@ -35,7 +35,7 @@ def pruned(points: np.ndarray, degree: int = DEGREE, slack: float = SLACK) -> li
     near = points @ points.T
     out = []
     for i in range(len(points)):
-        order = np.argsort(-near[i], kind="stable")[: 8 * degree + 1]
+        order = np.argsort(-near[i], kind="stable")
         order = order[order != i]
         far, chosen = 2 - 2 * near[i, order], []
         while len(order) and len(chosen) < degree:
@@ -50,6 +50,27 @@ def pruned(points: np.ndarray, degree: int = DEGREE, slack: float = SLACK) -> li
     return np.split(both % max(1, len(out)), np.searchsorted(both, np.arange(1, len(out)) * len(out)))
 
 
+def joined(points: np.ndarray, edges: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The graph with its parts joined by their nearest pairs, and the medoid of each part that it had: what a search enters."""
+    part, entries = np.full(len(points), -1), []
+    for i in range(len(points)):
+        if part[i] < 0:
+            front = np.array([i])
+            while len(front):
+                part[front] = len(entries)
+                front = np.unique(np.concatenate([edges[x] for x in front]))
+                front = front[part[front] < 0]
+            own = np.flatnonzero(part == len(entries))
+            entries.append(own[np.argmax(points[own] @ points[own].mean(axis=0))])
+    while part.any():
+        one, rest = np.flatnonzero(part == 0), np.flatnonzero(part)
+        a, b = np.unravel_index(np.argmax(points[one] @ points[rest].T), (len(one), len(rest)))
+        a, b = one[a], rest[b]
+        edges[a], edges[b] = np.append(edges[a], b), np.append(edges[b], a)
+        part[part == part[b]] = 0
+    return edges, np.array(entries)
+
+
 def reach(points: np.ndarray, edges: np.ndarray, entry: np.ndarray, query: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
     """Range-expanding greedy search: the beam moves towards the query until it stands; then every point in range is expanded until no new one is found. edges is padded with -1."""
     seen = np.zeros(len(points), bool)
@@ -111,7 +132,7 @@ def duplicate_vectors(vectors: DataFrame, least: float = 0.9, shard: int = SHARD
     """vec_id, n_links, component_id, kept for every row: links are all pairs whose cosine, in double precision, is `least` or more.
 
     Equal vectors are one class. Each class is at home in the shard of its nearest centre; a shard too large for a task
-    is dealt into units by a hash. Every unit builds a robust-pruned graph. A class asks every shard that a vector within
+    is dealt into units by a hash. Every unit builds a robust-pruned graph whose parts are joined. A class asks every shard that a vector within
     the linking angle can have as its home, so no link is lost by the choice of shards; where directions are uniform these are
     all shards, and the work grows with the square of the classes. Units are bundled, and of two bundles only the
     first asks the second. In a bundle the product of askers and unit tells who has links there; these search the graph
@@ -157,8 +178,9 @@ def duplicate_vectors(vectors: DataFrame, least: float = 0.9, shard: int = SHARD
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cls", kind="stable").reset_index(drop=True)
         points, own = matrix(frame["v"], width), int(bundle[frame["unit"].iat[0]])
-        frame["edges"] = [x.tolist() for x in pruned(points)]
-        frame["entry"] = np.arange(len(points)) == np.argmax(points @ points.mean(axis=0))
+        edges, entries = joined(points, pruned(points))
+        frame["edges"] = [x.tolist() for x in edges]
+        frame["entry"] = np.isin(np.arange(len(points)), entries)
         frame["bundle"] = own
         asks = []
         for start in range(0, len(points), 64):
