@@ -98,6 +98,23 @@ def test_main_text():
     assert html.blocks(deep) == (["x"], False)
 
 
+def test_articles_of_other_roles_are_not_the_main_text(spark):
+    text = "<div><p>" + "the main text in plain blocks " * 8 + "</p></div>"
+    words = " ".join(("the main text in plain blocks " * 8).split())
+    assert html.main_blocks(f'{text}<article class="comment"><p>reader</p></article>') == ([words], False)
+    assert html.main_blocks(f'{text}<article class="card"><p>teaser</p></article>') == ([words, "teaser"], False)
+    assert html.main_blocks(f"{text}<article></article>") == ([words], False)
+    assert html.main_blocks(f"{text}<article><p>short</p></article>") == ([words, "short"], False)
+    assert html.main_blocks('<p>a</p><article class="post category-social format-aside"><p>story</p></article>') == (["story"], True)
+    for name in ("post-comments", "article-footer", "entry-share", "page-header", "main-menu", "content-ad", "content-sidebar"):
+        assert html.main_blocks(f'<p>x</p><div class="{name}"><p>y</p></div>') == (["x"], False), name
+    for name in ("content", "sidebar-content", "layout-with-sidebar", "has-sidebar", "main share"):
+        assert html.main_blocks(f'<div class="{name}"><p>y</p></div>') == (["y"], False), name
+    assert html.main_blocks("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> holds</p></article>") == (["so x=2 holds"], True)
+    got = html.main_text(spark.createDataFrame([(1, "http://a/", f'{text}<article class="comment"><p>reader</p></article>')], "page_id long, url string, html string")).first()
+    assert (got.text, got.n_chars) == (words, len(words))
+
+
 def test_boilerplate_of_hosts_goes_and_copies_stay(spark):
     notice = "we keep crumbs of what you read here to make this place better for all of you"
     own = [f"<p>{notice}</p><p>story {i} about {i * 7} things</p>" for i in range(4)]
