@@ -35,6 +35,12 @@ def test_query_without_twin_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_the_whole_table_shows_every_finding(spark):
+    shown = registry.QUERIES["r_table_all"](spark, DATA).toPandas()
+    every = registry.QUERIES["r_api"](spark, DATA).count()
+    assert len(shown) == every > 50 and shown["severity"].nunique() > 1
+
+
 def test_entry_gives_rows(spark):
     import __spark_entry__
 

@@ -205,6 +205,13 @@ def r_table(spark, sf):
     return _findings(spark, sf).select("severity", "file", "line_no", "type").orderBy("severity", "file", "line_no", "type").limit(50)
 
 
+@query("r_table_all", f"WITH {oracle.FINDINGS} SELECT severity, file, CAST(line_no AS BIGINT) AS line_no, type, coalesce({_REDACTED}, '—') AS secret FROM findings")
+def r_table_all(spark, sf):
+    """Every finding of the table as it is shown, with the redacted token, by the text of the severity, file and line."""
+    found = _findings(spark, sf).select("severity", "file", "line_no", "type", F.coalesce(report.redacted(F.col("token")), F.lit("—")).alias("secret"))
+    return found.orderBy("severity", "file", "line_no", "type")
+
+
 @query("r_cube", f"WITH {oracle.FINDINGS} SELECT severity, evidence, CAST(count(*) AS BIGINT) AS n FROM findings GROUP BY CUBE (severity, evidence)")
 def r_cube(spark, sf):
     """An extension: counts by severity, by evidence, by both and in all."""
