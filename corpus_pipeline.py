@@ -20,11 +20,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col("text")) == F.col("gone_key"))
-    return docs.join(gone, same, "left_anti")
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one row stays: of the smallest doc_id (null is the largest), then of the smallest text hash, then the smallest of rows equal in both."""
+    found = minhash.near_duplicates(docs, roots=True).where("root is not null")
+    keys = staged(found.groupBy("doc_id", "tkey").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("n")), "near-keys")
+    one = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tkey")).alias("one"))
+    stays = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("tkey") == F.col("one.tkey"))
+    judged = keys.join(one, "root").select(F.col("doc_id").alias("found_id"), F.col("tkey").alias("found_key"), "n", stays.alias("stays"))
+    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64(F.col("text")) == F.col("found_key"))
+    left = docs.join(judged.where("not stays"), same, "left_anti")
+    repeated = judged.where("stays and n > 1")
+    if repeated.isEmpty():
+        return left
+    rows = left.join(repeated, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.join(repeated, same, "left_anti").union(rows.select("row.*"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

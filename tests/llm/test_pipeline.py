@@ -52,6 +52,19 @@ def test_one_of_each_group_stays(spark, folder):
     assert left == {r.doc_id for r in docs.collect()} - {300 + i for i in range(5)}
 
 
+def test_one_row_of_repeated_and_nameless_rows_stays(spark, folder):
+    r = random.Random(22)
+    text = lambda: " ".join("".join(r.choice("aeioulnrst") for _ in range(6)) for _ in range(80))
+    a, b, c, d = text(), text(), text(), text()
+    near = f"{b} more"
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, a, "en", "t", 1), (2, b, "en", "s", 1), (2, near, "en", "s", 1), (3, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, d, "en", "s", 1), (9, d, "en", "s", 1), (None, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = [tuple(x) for x in STAGES["minhash_near_dedup"](spark, docs, folder).collect()]
+    assert len(left) == 5
+    assert (1, a, "en", "s", 1) in left and (None, c, "en", "s", 1) in left and (9, d, "en", "s", 1) in left and (None, None, "en", "s", 1) in left
+    assert sum(x[0] == 2 and x[1] in (b, near) for x in left) == 1
+
+
 def test_passages_stay_in_the_smallest_document(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 300")
     texts = {r.doc_id: r.text.split() for r in docs.collect()}

@@ -158,7 +158,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", roots: bool = False) -> DataFrame:
     """doc_id, tkey, n_shingles, component_id, kept for every document.
 
     Documents with equal shingle sets form a class; classes are compared, not their members. Classes that share a band
@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     A null or empty text has no shingles and is linked with nothing. component_id is the least doc_id reachable, itself
     included; kept is doc_id = component_id. Rows with the same id are documents of their own. A null doc_id can be
     linked but names no component unless all ids there are null. No rows give no rows. Other columns are left out; tkey
-    is the text's xxhash64, which tells rows of one id apart.
+    is the text's xxhash64, which tells rows of one id apart. On request root names the component even where no id does;
+    it is null for rows without shingles.
     """
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
@@ -208,4 +209,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     named = rest.where("n > 0").groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id"))
     out = rest.withColumn("root", root).join(named, "root", "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "tkey", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "tkey", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["root"] if roots else []))
