@@ -128,3 +128,26 @@ def test_links_between_tight_groups_larger_than_the_degree(spark):
     for q in range(0, 600, 37):
         assert set(embedding_dedup.reach(unit, padded, entries, unit[q], 0.9)) == set(np.flatnonzero(unit @ unit[q] >= 0.9))
     _against_all_pairs(spark, points)
+
+
+def test_searches_that_miss_links_are_repeated():
+    # Two far groups, joined by nothing but the entry: a beam of one does not get across.
+    near = np.array([[0.1, 0.95, 0.2, 0.96]])
+    padded = np.array([[1, 4], [0, 2], [1, 3], [2, 4]])
+    assert embedding_dedup.searched(near, padded, np.array([0]), 0.9, 1).tolist() == [[False, True, False, False]]
+    r = np.random.default_rng(3)
+    points = r.normal(size=(300, 3))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    edges = [np.array([(i - 1) % 300, (i + 1) % 300]) for i in range(300)]
+    near = points @ points.T
+    hit, first = embedding_dedup.links_in(near, np.array(edges), np.array([0]), 0.9)
+    assert (hit == (near >= 0.9)).all() and first < hit.sum()
+
+
+def test_odd_rows_of_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (40, [1.0, 0.01]), (None, [1.0, 0.0])]
+    table = spark.createDataFrame([(*x, "a", "b") for x in rows], "vec_id long, embedding array<double>, score string, home string")
+    found = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embedding_dedup.duplicate_vectors(table).collect())
+    assert found == [("1", 3, "1", True), ("1", 3, "1", True), ("2", 3, "1", False), ("3", 0, "3", True), ("40", 3, "1", False), ("None", 0, "None", True)]
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=3).collect())
+    assert got == [(40, 1, 2, 2.0), (40, 2, 1, 1.0), (40, 3, 1, 1.0)]

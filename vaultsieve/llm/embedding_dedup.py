@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultsieve.sources.package import ship
+
 from .common import staged, unstage
 from .components import components
-from .vectors import digest, matrix, sampled, usable
+from .vectors import chained, digest, matrix, sampled, usable
 
 #: Rows that the shard centres are fitted on; centres at most; classes per centre, about; vector components per bundle of shards.
-SAMPLE, CENTRES, SHARD, BUNDLE = 8192, 1024, 1000, 2**20
-#: Out-degree in one shard, pruning slack, and width of the greedy search; rounding of a cosine.
-DEGREE, SLACK, BEAM, ROUNDING = 16, 1.2, 24, 1e-12
+SAMPLE, CENTRES, SHARD, BUNDLE = 16384, 4096, 1000, 2**20
+#: Out-degree in one shard, pruning slack, and width of the greedy search.
+DEGREE, SLACK, BEAM = 16, 1.2, 24
 
 
 def centres(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
@@ -72,38 +76,37 @@ def joined(points: np.ndarray, edges: list[np.ndarray]) -> tuple[list[np.ndarray
 
 
 def reach(points: np.ndarray, edges: np.ndarray, entry: np.ndarray, query: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
-    """Range-expanding greedy search: the beam moves towards the query until it stands; then every point in range is expanded until no new one is found. edges is padded with -1."""
-    seen = np.zeros(len(points), bool)
-    opened = np.zeros(len(points), bool)
-    seen[entry] = True
-    pool, value = entry, points[entry] @ query
-    while True:
-        top = np.argsort(-value, kind="stable")
-        within = value >= least
-        want = np.zeros(len(pool), bool)
-        want[top[:beam]] = True
-        want |= within
-        want &= ~opened[pool]
-        if not want.any():
-            return pool[within]
-        now = pool[want]
-        if not (value[want] >= least).any():
-            now = now[np.argsort(-value[want], kind="stable")[:8]]
-        opened[now] = True
-        fresh = np.unique(edges[now])
-        fresh = fresh[fresh >= 0]
-        fresh = fresh[~seen[fresh]]
-        seen[fresh] = True
-        pool, value = np.concatenate([pool, fresh]), np.concatenate([value, points[fresh] @ query])
-
-
-def chained(middle: np.ndarray) -> np.ndarray:
-    """The centres in an order in which each is the nearest left to the one before."""
-    left, order = np.ones(len(middle), bool), [0]
-    while len(order) < len(middle):
-        left[order[-1]] = False
-        order.append(int(np.argmax(np.where(left, middle @ middle[order[-1]], -np.inf))))
-    return np.array(order)
+    """The points in range of one query by searched(); edges is filled up with -1."""
+    return np.flatnonzero(searched((points @ query)[None], np.where(edges < 0, len(points), edges), entry, least, beam)[0])
+
+
+def searched(near: np.ndarray, padded: np.ndarray, entries: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
+    """Range-expanding greedy search of many queries at once: each one's beam moves towards the query until it stands, and every point in range that it meets is expanded, until no new one is found.
+
+    near has a row of products for each query; padded has each point's neighbours, filled up with the number of points.
+    Returns the points in range that each query met.
+    """
+    asked, n = near.shape
+    within, opened, seen = near >= least, np.zeros((asked, n), bool), np.zeros((asked, n), bool)
+    seen[:, entries] = True
+    tail, head = (x[padded.ravel() < n] for x in (np.repeat(np.arange(n), padded.shape[1]), padded.ravel()))
+    order = np.argsort(head, kind="stable")
+    ends, first = np.unique(head[order], return_index=True)
+    active = np.arange(asked)
+    while len(active):
+        met = seen[active]
+        best = np.argpartition(np.where(met, -near[active], np.inf), min(beam, n) - 1, axis=1)[:, : min(beam, n)]
+        want = within[active]
+        np.put_along_axis(want, best, True, axis=1)
+        want &= met & ~opened[active]
+        more = want.any(axis=1)
+        active, want = active[more], want[more]
+        opened[active] |= want
+        if len(active) and len(ends):
+            # Eight queries a byte: each point takes up the queries that opened one of its neighbours.
+            come = np.bitwise_or.reduceat(np.packbits(want, axis=0).T[tail[order]], first, axis=0)
+            seen[active[:, None], ends] |= np.unpackbits(come.T, axis=0, count=len(active)).astype(bool)
+    return seen & within
 
 
 def in_angle(points: np.ndarray, middle: np.ndarray, home: np.ndarray, least: float) -> np.ndarray:
@@ -115,17 +118,35 @@ def in_angle(points: np.ndarray, middle: np.ndarray, home: np.ndarray, least: fl
         return np.ones((len(points), len(middle)), bool)
     scores = points @ middle.T
     gap = scores[np.arange(len(points)), home][:, None] - scores
-    return gap <= np.sqrt(max(0.0, 1 - least * least)) * np.linalg.norm(middle[home][:, None] - middle[None], axis=2) + 1e-9
+    square = (middle * middle).sum(axis=1)
+    apart = np.sqrt(np.maximum(0.0, square[home][:, None] + square - 2 * middle[home] @ middle.T))
+    return gap <= np.sqrt(max(0.0, 1 - least * least)) * apart + 1e-7
 
 
-def links_in(points: np.ndarray, padded: np.ndarray, entry: np.ndarray, query: np.ndarray, least: float, sure: np.ndarray) -> np.ndarray:
-    """The points in range by greedy search; its beam widens until it finds all that are known to be in range."""
-    beam = BEAM
-    while True:
-        hit = reach(points, padded, entry, query, least, beam)
-        if beam >= len(points) or np.isin(sure, hit).all():
-            return hit
+def links_in(near: np.ndarray, padded: np.ndarray, entries: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The points in range of each query by greedy search, and how many the first search found. The audit is whole: every search is held against the exact products, and those that missed a link search again with a wider beam."""
+    hit = searched(near, padded, entries, least)
+    first, beam = int(hit.sum()), BEAM
+    while beam < near.shape[1]:
+        missed = np.flatnonzero(((near >= least) & ~hit).any(axis=1))
+        if not len(missed):
+            break
         beam *= 4
+        hit[missed] = searched(near[missed], padded, entries, least, beam)
+    return hit, first
+
+
+class Parts:
+    """Connected parts of sorted ids: flat labels, each the place of the least id of its part."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.label = ids, np.arange(len(ids))
+
+    def join(self, places: np.ndarray) -> None:
+        """Make one part of these places' parts."""
+        old = np.unique(self.label[places])
+        if len(old) > 1:
+            self.label[np.isin(self.label, old)] = old[0]
 
 
 def duplicate_vectors(vectors: DataFrame, least: float = 0.9, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -136,13 +157,15 @@ def duplicate_vectors(vectors: DataFrame, least: float = 0.9, shard: int = SHARD
     the linking angle can have as its home, so no link is lost by the choice of shards; where directions are uniform these are
     all shards, and the work grows with the square of the classes. Units are bundled, and of two bundles only the
     first asks the second. In a bundle the product of askers and unit tells who has links there; these search the graph
-    from its entries, and a search that misses a link widens its beam. A task returns one count per class and the links
-    that join its finds, fewer than its rows, not all pairs.
+    from its entries. The same products audit every search: one that misses a link is repeated with a wider beam until
+    it has all, and how many the first searches found is logged. A task returns one count and one root for each class
+    with links, not all pairs.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and keep themselves. Repeated
     rows are equal vectors, linked with each other. A null id links with nothing. No rows give no rows. Other columns
     are left out. Of vectors of unequal lengths the shorter count as filled up with zeros.
     """
+    ship(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col).select("vec_id", "v", *digest(F.col("v")))
     classes = staged(rows.groupBy("d1", "d2").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vector-classes")
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
@@ -197,47 +220,47 @@ def duplicate_vectors(vectors: DataFrame, least: float = 0.9, shard: int = SHARD
     data = graph.withColumnRenamed("bundle", "j").join(F.broadcast(pairs), "j").select("i", "j", "cls", "copies", "v", "unit", "edges", "entry")
 
     def search(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        links: dict[int, int] = {}
-        root: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        if len(data) and len(asked):
-            same = data["i"].iat[0] == data["j"].iat[0]
-            who, weight, queries = asked["cls"].to_numpy(), asked["copies"].to_numpy(), matrix(asked["v"], width)
-            for _, part in data.groupby("unit"):
-                part = part.sort_values("cls", kind="stable")
-                names, copies, points = part["cls"].to_numpy(), part["copies"].to_numpy(), matrix(part["v"], width)
-                lists = [np.asarray(x, np.int64) for x in part["edges"]]
-                padded = np.full((len(lists), max(1, max(map(len, lists)))), -1, np.int64)
-                for x, line in zip(lists, padded, strict=True):
-                    line[: len(x)] = x
-                entry = np.flatnonzero(part["entry"].to_numpy())
-                got = np.zeros(len(names), np.int64)
-                for start in range(0, len(who), 1024):
-                    near = queries[start : start + 1024] @ points.T
-                    if same:
-                        near[who[start : start + 1024, None] == names] = -2
-                    for q in np.flatnonzero((near >= least - ROUNDING).any(axis=1)):
-                        name = int(who[start + q])
-                        hit = links_in(points, padded, entry, queries[start + q], least, np.flatnonzero(near[q] >= least + ROUNDING))
-                        hit = hit[names[hit] != name]
-                        links[name] = links.get(name, 0) + int(copies[hit].sum())
-                        if not same:
-                            got[hit] += weight[start + q]
-                        for other in names[hit].tolist():
-                            a, b = top(name), top(other)
-                            if a != b:
-                                root[max(a, b)] = min(a, b)
-                for at in np.flatnonzero(got):
-                    links[int(names[at])] = links.get(int(names[at]), 0) + int(got[at])
-        return pd.DataFrame([(x, links.get(x, 0), top(x)) for x in list(root)], columns=["cls", "links", "root"], dtype="int64")
-
-    found = staged(data.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInPandas(search, "cls long, links long, root long"), "found")
+        if not (len(data) and len(asked)):
+            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("cls", "links", "root", "sure", "early")})
+        same = data["i"].iat[0] == data["j"].iat[0]
+        who, weight, queries = asked["cls"].to_numpy(), asked["copies"].to_numpy(), matrix(asked["v"], width)
+        parts = Parts(np.unique(np.concatenate([who, data["cls"].to_numpy()])))
+        links, at = np.zeros(len(parts.ids), np.int64), np.searchsorted(parts.ids, who)
+        sure = early = 0
+        for _, part in data.groupby("unit"):
+            part = part.sort_values("cls", kind="stable")
+            names, copies, points = part["cls"].to_numpy(), part["copies"].to_numpy(), matrix(part["v"], width)
+            lists = [np.asarray(x, np.int64) for x in part["edges"]]
+            padded = np.full((len(lists), max(1, max(map(len, lists)))), len(lists), np.int64)
+            for x, line in zip(lists, padded, strict=True):
+                line[: len(x)] = x
+            entries, own = np.flatnonzero(part["entry"].to_numpy()), np.searchsorted(parts.ids, names)
+            for start in range(0, len(who), 1024):
+                near = queries[start : start + 1024] @ points.T
+                if same:
+                    near[who[start : start + 1024, None] == names] = -2
+                rows = np.flatnonzero((near >= least).any(axis=1))
+                if not len(rows):
+                    continue
+                hit, first = links_in(near[rows], padded, entries, least)
+                sure, early = sure + int((near >= least).sum()), early + first
+                links[at[start + rows]] += hit @ copies
+                if not same:
+                    links[own] += weight[start + rows] @ hit
+                for row, query in zip(hit, at[start + rows], strict=True):
+                    if row.any():
+                        parts.join(np.append(own[row], query))
+        some = np.flatnonzero(links)
+        out = pd.DataFrame({"cls": parts.ids[some], "links": links[some], "root": parts.ids[parts.label[some]]})
+        out["sure"], out["early"] = 0, 0
+        if len(out):
+            out.loc[0, ["sure", "early"]] = sure, early
+        return out
+
+    found = staged(data.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInPandas(search, "cls long, links long, root long, sure long, early long"), "found")
+    sure, early = found.agg(F.coalesce(F.sum("sure"), F.lit(0)), F.coalesce(F.sum("early"), F.lit(0))).first()
+    logging.getLogger(__name__).info("links in the audit: %d; found by the first search: %d; all were found after wider ones", sure, early)
+    unstage(graph)
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")).where("a != b"))
     facts = classes.select("d1", "d2", "cls", "copies").join(counts, "cls", "left").join(roots.withColumnRenamed("id", "cls"), "cls", "left")

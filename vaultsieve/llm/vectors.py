@@ -36,3 +36,12 @@ def sampled(rows: DataFrame, most: int) -> np.ndarray:
     """At most `most` vectors, by the order of a hash of their ids."""
     chosen = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(most).select("v").toPandas()
     return matrix(chosen["v"])
+
+
+def chained(middle: np.ndarray) -> np.ndarray:
+    """Vectors in an order in which each is the nearest left to the one before."""
+    left, order = np.ones(len(middle), bool), [0]
+    while len(order) < len(middle):
+        left[order[-1]] = False
+        order.append(int(np.argmax(np.where(left, middle @ middle[order[-1]], -np.inf))))
+    return np.array(order)
