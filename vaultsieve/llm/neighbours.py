@@ -2,81 +2,147 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaultsieve.sources.package import ship
+
 from .common import staged
-from .vectors import matrix, sampled, usable
+from .vectors import chained, matrix, sampled, usable
+
+#: Pivots: a sample of the rows, by the order of a hash. The footrule distance is summed over the PROBED nearest to the query.
+PIVOTS, PROBED = 256, 64
+#: Rows of a block of the index and queries of a part, about.
+BLOCK, PART = 4096, 2048
+#: Queries that are answered exactly, to tell how far to look, and the share of their neighbours that each bound must let in.
+AUDIT, SURE = 128, 0.985
+
 
-#: Pivots: a sample of the rows, by the order of a hash. KEPT nearest pivots represent a vector.
-PIVOTS, KEPT = 512, 64
-#: Rows of a block of the index, about; RERANKED of a block's rows, those with the least footrule distance, get exact scores.
-BLOCK, RERANKED = 8192, 0.3
+def footrule(files: np.ndarray) -> np.ndarray:
+    """Each row's distance from a query: files has, for the query's pivots from the nearest on, the rows' places of that pivot."""
+    own = np.arange(len(files), dtype=files.dtype)[:, None]
+    return (np.maximum(files, own) - np.minimum(files, own)).sum(axis=0, dtype=np.uint32)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS, kept: int = KEPT, block: int = BLOCK, reranked: float = RERANKED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS, probed: int = PROBED, block: int = BLOCK, sure: float = SURE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner products found, ties to the smaller id; a query isn't its own neighbour.
 
-    Each vector is represented by its nearest pivots in order. Pivot inverted files hold (vector, place). A query adds
-    up, along its own pivots' files, what shared pivots save of the footrule distance; the rows with the least distance
-    are scored exactly, in double precision. Vectors are lengthened by one component so that all have the same norm:
-    nearness by angle is then nearness by inner product.
+    Each vector is represented by the order of its nearest pivots. Rows stand in blocks by their nearest pivot, and a
+    block holds an inverted file for each pivot, of the places that it has with the rows. A query probes the
+    files of its `probed` nearest pivots, sums the footrule distance, and scores the rows within a bound exactly, in
+    double precision. Vectors are lengthened by one component so that all have the same norm: nearness by angle is then
+    nearness by inner product.
 
-    The index is in blocks of rows, and queries, in blocks too, meet every block; each block returns its k best. The
-    pivots are a bounded sample, and every row is indexed. Vectors that are null, zero, or hold null or non-finite
+    Two bounds say how far a query looks: the footrule distance, and at how many nearest pivots it visits the rows
+    that stand there. Both are the least that let in the share `sure` of the true neighbours of AUDIT queries, which are
+    answered exactly by one pass over all rows first; the recall that follows is logged. So the bounds follow the data, at every size:
+    where vectors form groups, few blocks are visited; where directions are uniform, nearly all are. From each block
+    that it visits a query scores k + 1 rows at least.
+
+    The pivots are a bounded sample, and every row is indexed. Vectors that are null, zero, or hold null or non-finite
     components take no part. Vectors of unequal lengths are compared as if filled up with zeros. Repeated rows: rows
-    with a query's id are not its neighbours; repeated candidates each count. No rows give no rows. Other columns are
-    left out.
+    with a query's id are not its neighbours; repeated candidates each count; of a query's rows the least vector asks.
+    No rows give no rows. Other columns are left out.
     """
+    ship(vectors.sparkSession)
     rows = staged(usable(vectors, id_col, vector_col), "vectors")
+    none = rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     total, longest, width = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), F.max(F.size("v"))).first()
     if not total:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+        return none
     sample = sampled(rows, pivots)
     sample = np.hstack([sample, np.zeros((len(sample), width - sample.shape[1]))])
     lengthen = lambda m: np.hstack([m, np.sqrt(np.maximum(0, longest - (m * m).sum(axis=1)))[:, None]])
-    anchors, used = lengthen(sample), min(kept, len(sample))
+    anchors = lengthen(sample)
+    anchors = anchors[chained(anchors)]
+    count, kind = len(anchors), np.uint8 if len(anchors) <= 256 else np.uint16
+
+    def places(m: np.ndarray) -> np.ndarray:
+        """For each row and pivot, how many pivots are nearer."""
+        order = np.argsort(-(m @ anchors.T), axis=1, kind="stable")
+        out = np.empty(order.shape, kind)
+        np.put_along_axis(out, order, np.arange(count, dtype=kind)[None], axis=1)
+        return out
+
+    def posted(asking: bool):
+        def run(frames):
+            for frame in frames:
+                m = matrix(frame["v"], width)
+                at = places(np.hstack([m, np.zeros((len(m), 1))]) if asking else lengthen(m))
+                frame["home"], frame["places"] = at.argmin(axis=1), [x.tobytes() for x in at]
+                yield frame
+
+        return run
 
-    def order(m: np.ndarray) -> np.ndarray:
-        return np.argsort(-(m @ anchors.T), axis=1, kind="stable")[:, :used]
+    schema = "vec_id long, v array<double>, home long, places binary"
+    index = staged(rows.mapInPandas(posted(False), schema), "permutations")
+    asked = staged(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInPandas(posted(True), schema), "queries")
+    audited = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT).toPandas()
+    if not len(audited):
+        return none
+
+    def read(frame: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(frame["places"]), kind).reshape(len(frame), count)
+
+    def exact(frames):
+        who, q, own = audited["vec_id"].to_numpy(), matrix(audited["v"], width), read(audited)
+        for frame in frames:
+            ids, scores = frame["vec_id"].to_numpy(), q @ matrix(frame["v"], width).T
+            files, home = np.ascontiguousarray(read(frame).T), frame["home"].to_numpy()
+            for i, name in enumerate(who):
+                at = np.flatnonzero(ids != name)
+                at = at[np.argsort(-scores[i, at], kind="stable")[:k]]
+                far = footrule(files[np.argsort(own[i])[:probed]][:, at])
+                yield pd.DataFrame({"query_id": name, "vec_id": ids[at], "score": scores[i, at], "far": far.astype(np.int64), "step": own[i, home[at]].astype(np.int64)})
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    true = top(index.mapInPandas(exact, "query_id long, vec_id long, score double, far long, step long")).select("far", "step").toPandas()  # AUDIT * k rows at most
+    bound = lambda x: int(np.sort(x)[max(0, int(np.ceil(sure * len(x))) - 1)]) if len(x) else 0
+    most, visited = bound(true["far"].to_numpy()), bound(true["step"].to_numpy()) + 1
+    recall = float(((true["far"] <= most) & (true["step"] < visited)).mean()) if len(true) else 1.0
+    logging.getLogger(__name__).info("recall of the audit's neighbours: %.4f, within footrule distance %d and %d of %d pivots", recall, most, visited, count)
+
+    # Rows stand along the chain of pivots; those at one pivot are dealt by a hash, and every `block` of them are a block.
+    sizes = np.zeros(count, np.int64)
+    for home, size in index.groupBy("home").count().collect():  # one row per pivot
+        sizes[home] = size
+    starts = np.cumsum(sizes) - sizes
+    pick = lambda x: F.element_at(F.array(*[F.lit(int(n)) for n in x]), F.col("home").cast("int") + 1).cast("long")
+    stand = F.floor((pick(starts) + F.pmod(F.xxhash64("vec_id"), F.greatest(pick(sizes), F.lit(1)))) / block).cast("long")
+    first, last = starts // block, (starts + np.maximum(sizes, 1) - 1) // block
+    parts = -(-asked.count() // PART)
+
+    def visits(frames):
+        for frame in frames:
+            near = [np.flatnonzero((x < visited) & (sizes > 0)) for x in read(frame)]
+            frame["block"] = [np.unique(np.concatenate([np.arange(first[p], last[p] + 1) for p in x] or [np.zeros(0, np.int64)])).tolist() for x in near]
+            yield frame[["vec_id", "v", "places", "block"]]
+
+    asking = asked.mapInPandas(visits, "vec_id long, v array<double>, places binary, block array<long>")
+    asking = asking.select("vec_id", "v", "places", F.explode("block").alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"))
+    data = index.select("vec_id", "v", "places", stand.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
 
     def search(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if len(data) and len(asked):
             data = data.sort_values("vec_id", kind="stable")
-            ids, m = data["vec_id"].to_numpy(), matrix(data["v"], width)
-            places = order(lengthen(m))
-            # Inverted files: for each pivot, the rows that have it and its place with them.
-            by = np.argsort(places.ravel(), kind="stable")
-            ends = np.searchsorted(places.ravel()[by], np.arange(len(anchors) + 1))
-            row, place = by // used, by % used
-            q = matrix(asked["v"], width)
-            least = max(k + 1, int(np.ceil(reranked * len(m))))
-            for name, vector, files in zip(asked["query_id"], q, order(np.hstack([q, np.zeros((len(q), 1))])), strict=True):
-                saved = np.zeros(len(m), np.int64)
-                for own, pivot in enumerate(files):
-                    a, b = ends[pivot], ends[pivot + 1]
-                    saved[row[a:b]] += used - np.maximum(own, place[a:b])
-                at = np.arange(len(m))
-                if least < len(m):
-                    at = np.sort(np.argpartition(at - saved * len(m), least)[:least])  # ties to smaller ids
+            ids, m, files = data["vec_id"].to_numpy(), matrix(data["v"], width), np.ascontiguousarray(read(data).T)
+            for name, vector, own in zip(asked["vec_id"], matrix(asked["v"], width), read(asked), strict=True):
+                far = footrule(files[np.argsort(own)[:probed]])
+                least = min(k + 1, len(far)) - 1
+                at = np.flatnonzero(far <= max(most, int(np.partition(far, least)[least])))
                 at = at[ids[at] != name]
                 score = (m[at] * vector).sum(axis=1)
-                best = np.lexsort((ids[at], -score))[:k]
-                out["query_id"] += [name] * len(best)
-                out["vec_id"] += ids[at][best].tolist()
-                out["score"] += score[best].tolist()
+                order = np.lexsort((ids[at], -score))[:k]
+                out["query_id"] += [name] * len(order)
+                out["vec_id"] += ids[at][order].tolist()
+                out["score"] += score[order].tolist()
         return pd.DataFrame({c: pd.Series(x, dtype="float64" if c == "score" else "int64") for c, x in out.items()})
 
-    blocks = -(-total // block)
-    data = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = rows.where(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    # Query blocks: data blocks are sent once to each.
-    parts = max(1, -(-blocks // 20))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    data = data.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    found = data.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = data.groupBy("block", "part").cogroup(asking.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
+    return top(found).select("query_id", "rank", "vec_id", "score")
