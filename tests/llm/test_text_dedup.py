@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from vaultsieve.llm import minhash, substrings, suffixes
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -130,3 +132,56 @@ def test_a_null_id_keeps_its_words(spark):
     docs = spark.createDataFrame([(None, text), (1, text), (2, text)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.dedup_substrings(docs).collect()) == [(0, 0), (1, 0), (2, 60)]
     assert sorted((r.doc_id or 0, r.n_removed > 0) for r in suffixes.dedup_bytes(docs).collect()) == [(0, False), (1, False), (2, True)]
+
+
+def removed_bytes(rows, length):
+    first: dict[bytes, tuple[int, int]] = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            key = b[p : p + length]
+            first[key] = min(first.get(key, (i, p)), (i, p))
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < (i, p):
+                gone[p : p + length] = b"\1" * length
+        want.append((i, len(b), sum(gone), sum(1 for j in range(len(gone)) if gone[j] and (j == 0 or not gone[j - 1]))))
+    return sorted(want)
+
+
+@pytest.mark.parametrize(("length", "k", "hot"), [(100, 40, 2), (100, 20, 20_000), (300, 40, 20_000), (40, 40, 3)])
+def test_byte_strings_of_other_lengths_and_hot_grams(spark, monkeypatch, length, k, hot):
+    import random
+
+    from vaultsieve.llm import common
+
+    monkeypatch.setattr(common, "HOT", 3)
+    monkeypatch.setattr(suffixes, "GROUP", 40)
+    r = random.Random(length + hot)
+    say = lambda n: "".join(r.choice("abé ") for _ in range(n))
+    shared = [say(n) for n in (110, 130, 350, 700)]
+    rows = [(i, "".join(r.choice([say(r.randint(0, 90)), r.choice(shared), r.choice(shared)[20:]]) for _ in range(r.randint(0, 5)))) for i in range(60)]
+    rows += [(70, "a" * 900), (71, "ab" * 300), (72, rows[3][1]), (73, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffixes.dedup_bytes(docs, length=length, k=k, hot=hot).collect()
+    assert sorted(tuple(x)[:4] for x in got) == removed_bytes(rows, length)
+
+
+def test_strings_shorter_than_a_gram_are_refused(empty):
+    with pytest.raises(ValueError, match="bytes"):
+        suffixes.dedup_bytes(empty, length=30)
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    from vaultsieve.llm import common
+
+    monkeypatch.setattr(common, "HOT", 3)
+    monkeypatch.setattr(common, "MOST", 2)
+    rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(k)], "k long, i long")
+    keyed = spark.createDataFrame([(k, k, f"v{k}") for k in (0, 1, 3, 4, 5, 9)], "k long, n long, v string")
+    for how in ("inner", "left"):
+        got = sorted((r.k, r.i, r.v or "") for r in common.hot_join(rows, keyed, ["k"], how).collect())
+        assert got == sorted((k, i, "" if k == 2 else f"v{k}") for k in range(6) for i in range(k) if how == "left" or k != 2)

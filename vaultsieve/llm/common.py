@@ -50,6 +50,24 @@ def unstage(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows of a key that make it hot, and hot keys that are broadcast at most: those of the most rows.
+HOT, MOST = 1000, 10_000
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows.join(keyed, on, how), inner or left, where keyed has a key once, and as `n` how many of the rows hold it.
+
+    The at most MOST hottest keys are broadcast, so their rows stay where they are; no other key can hold more than
+    one row in MOST.
+    """
+    hot = staged(keyed.where(F.col("n") >= HOT).orderBy(F.desc("n"), *on).limit(MOST), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(keyed, on, how)
+    names = F.broadcast(hot.select(*on))
+    cold = rows.join(names, on, "left_anti").join(keyed.join(names, on, "left_anti"), on, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), on))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

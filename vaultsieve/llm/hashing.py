@@ -100,6 +100,12 @@ def span_hashes(items: np.ndarray, first: np.ndarray, last: np.ndarray, base: in
     return mix((sums[last] - sums[first]) * powers(max(n, 1) + 1, base, -1)[first] + (last - first).astype(np.uint64))
 
 
+def halves(digests: list) -> list[pa.Array]:
+    """The first 128 bits of hashlib digests as two columns of 64-bit integers."""
+    raw = np.frombuffer(b"".join(x.digest()[:16] for x in digests), "<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(raw[:, i])) for i in (0, 1)]
+
+
 def slide(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     """The least (or greatest) of values[i : i + width] for each i, by doubling."""
     pick, out, have = (np.minimum if least else np.maximum), values, 1

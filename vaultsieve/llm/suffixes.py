@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultsieve.sources.package import ship
+
 from . import hashing
-from .common import staged
+from .common import hot_join, staged, unstage
 
 #: Bytes in a K-gram; a window of `length` bytes holds length - K + 1 of them.
 K = 40
@@ -27,15 +29,15 @@ _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
 def document_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """One row per document: doc_id, tkey, n_bytes, c1, c2 (128 bits of the text), sha, and its least K-grams in lists: gram, at, lo. Windows that start at lo or later, up to the next entry's lo, have their least K-gram at `at`."""
+    """One row per document: doc_id, tkey, n_bytes, c1, c2 (the first 128 bits of sha), sha, and its least K-grams in lists: gram, at, lo. Windows that start at lo or later, up to the next entry's lo, have their least K-gram at `at`."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in hashing.chunks(batch.column(1)):
                 n, raw = last - first, data.tobytes()
-                sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                digests = [hashlib.sha256(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                sha, both = [x.hexdigest() for x in digests], hashing.halves(digests)
                 items = data.astype(np.uint64) + np.uint64(1)
-                both = [pa.array(hashing.span_hashes(items, offsets[:-1], offsets[1:], base).view(np.int64)) for base in (0, 1)]
                 start = at = np.zeros(0, np.int64)
                 grams = np.zeros(0, np.uint64)
                 if len(data) >= length:
@@ -131,97 +133,131 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
         best = rise(best)
 
 
-_RUN = "part long, shared binary, rest binary, counts binary, left binary, left_counts binary, docs binary, tkeys binary, ats binary, doc_id long, tkey long, first int, last int"
+_NUMBERS = ("shared", "counts", "left_counts", "docs", "tkeys", "ats")
+_RUN = "part long, rest binary, left binary, " + "".join(f"{x} binary, " for x in _NUMBERS) + "doc_id long, tkey long, first int, last int, at int, w1 array<long>, w2 array<long>"
 
 
 def sorted_runs(suspects: DataFrame, length: int, k: int, parts: int) -> DataFrame:
-    """doc_id, text, tkey, hits (gram, at, lo, hi) to front-coded sorted runs, each of one part; hot strings that a task has met before go no further: their windows come out as (doc_id, tkey, first, last) at once."""
+    """doc_id, text, tkey, hits (gram, at, lo, hi, hot) to rows of three kinds.
+
+    With `part`: a front-coded sorted run of suffixes. With `first`: a string with all bytes around it that a task has
+    met before goes no further, and its windows are repeats at once. With `w1`: a suffix of a hot K-gram, whose windows
+    are told apart by 128-bit hashes instead, one after another from `first` on, as no task could hold all its suffixes.
+    """
+    width = [x.split()[0] for x in _RUN.split(", ")]
+    kinds = [pa.int64(), *[pa.binary()] * 8, pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.list_(pa.int64())] * 2]
+
+    def table(columns: dict[str, list], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(width, kinds, strict=True)], names=width)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             held.sort(key=lambda e: e[:3])
-            met, out, by = set(), [], {}
-            for doc, at, tkey, gram, lo, hi, left, right in held:
-                if (left, right) in met:
-                    out.append((None,) * 9 + (doc, tkey, lo, hi))
-                else:
-                    met.add((left, right))
-                    by.setdefault(gram % parts, []).append((right, left, doc, tkey, at))
+            met: set[tuple[bytes, bytes]] = set()
+            again, hot, by = [], [], {}
+            for e in held:
+                if (e[7], e[8]) in met:
+                    again.append((e[0], e[2], e[4], e[5]))
+                    continue
+                met.add((e[7], e[8]))
+                hot.append(e) if e[6] else by.setdefault(e[3] % parts, []).append(e)
             held.clear()
+            yield table(dict(zip(("doc_id", "tkey", "first", "last"), zip(*again, strict=True), strict=True)) if again else {}, len(again))
             for part, entries in by.items():
-                entries.sort(key=lambda e: e[0])
-                shared, rest, counts = front_coded([e[0] for e in entries])
-                numbers = [np.array([e[i] for e in entries], np.int64).tobytes() for i in (2, 3, 4)]
-                out.append((part, shared.astype(np.uint8).tobytes(), rest, counts.astype(np.uint8).tobytes(), b"".join(e[1] for e in entries), np.array([len(e[1]) for e in entries], np.uint8).tobytes(), *numbers, None, None, None, None))
-            kinds = [pa.int64(), *[pa.binary()] * 8, pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=[x.split()[0] for x in _RUN.split(", ")])
+                entries.sort(key=lambda e: e[8])
+                shared, rest, counts = front_coded([e[8] for e in entries])
+                numbers = [shared, counts, [len(e[7]) for e in entries], [e[0] for e in entries], [e[2] for e in entries], [e[1] for e in entries]]
+                yield table({"part": [part], "rest": [rest], "left": [b"".join(e[7] for e in entries)]} | {c: [np.array(x, np.int64).astype("<i8" if c in ("docs", "tkeys") else "<u4").tobytes()] for c, x in zip(_NUMBERS, numbers, strict=True)}, 1)
+            for first in range(0, len(hot), 2000):
+                some = hot[first : first + 2000]
+                raw = [np.frombuffer(e[7] + e[8], np.uint8).astype(np.uint64) + np.uint64(1) for e in some]
+                both = [[hashing.run_hashes(x, length, base).view(np.int64) for x in raw] for base in (0, 1)]
+                yield table({"doc_id": [e[0] for e in some], "tkey": [e[2] for e in some], "first": [e[4] for e in some], "at": [e[1] for e in some], "w1": both[0], "w2": both[1]}, len(some))
 
         for batch in batches:
             for doc, text, tkey, hits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = text.encode()
                 for hit in hits:
                     at, lo, hi = hit["at"], hit["lo"], hit["hi"]
-                    held.append((doc, at, tkey, hit["gram"], lo, hi, raw[lo:at], raw[at : hi + length]))
+                    held.append((doc, at, tkey, hit["gram"], lo, hi, hit["hot"], raw[lo:at], raw[at : hi + length]))
                 if len(held) >= RUN:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     return suspects.mapInArrow(rows, _RUN)
 
 
+def classes(shared: np.ndarray, depth: int) -> np.ndarray:
+    """Of sorted strings, by how many bytes each shares with the one before: one number for those that agree in `depth` bytes."""
+    return np.cumsum(shared < depth)
+
+
+def settled(lefts: list[bytes], rights: list[bytes], shared: np.ndarray, length: int, k: int, order: np.ndarray) -> np.ndarray:
+    """For each suffix, and each count of bytes before it at which a window may begin, whether that window stands before in `order` (the suffixes' numbers by place), too.
+
+    rights are sorted, and shared tells how many bytes neighbours have in common; the bytes before them are sorted from
+    the right end. Two windows are the same if their suffixes agree in the bytes after and in those before: both are
+    classes of neighbours with common prefixes of that depth.
+    """
+    n, most = len(rights), length - k
+    before, after = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
+    turned = [x[::-1] for x in lefts]
+    by = np.array(sorted(range(n), key=turned.__getitem__), np.int64)
+    common = front_coded([turned[i] for i in by.tolist()])[0]
+    gone = np.zeros((n, most + 1), bool)
+    left = np.zeros(n, np.int64)
+    for o in range(most + 1):
+        left[by] = classes(common, o)
+        may = order[(before[order] >= o) & (after[order] >= length - o)]
+        key = left[may] * (n + 1) + classes(shared, length - o)[may]
+        _, first = np.unique(key, return_index=True)
+        again = np.ones(len(may), bool)
+        again[first] = False
+        gone[may[again], o] = True
+    return gone
+
+
 def repeats(runs: DataFrame, length: int, k: int) -> DataFrame:
     """doc_id, tkey, first, last: starts of windows that also start earlier, from the merged runs of each part."""
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        numbers = [[np.frombuffer(x, np.int64) for x in frame[c]] for c in ("docs", "tkeys", "ats")]
-        sorted_, lefts = [], []
-        for shared, rest, counts, left, sizes in zip(*(frame[c] for c in ("shared", "rest", "counts", "left", "left_counts")), strict=True):
-            shared = np.frombuffer(shared, np.uint8).astype(np.int64)
-            sorted_.append((restored(shared, rest, np.frombuffer(counts, np.uint8)), shared.tolist()))
-            ends = np.cumsum(np.frombuffer(sizes, np.uint8).astype(np.int64)).tolist()
-            lefts.append([left[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        out: list[tuple] = []
-
-        def settle(group: list[tuple]) -> None:
-            """Entries with one K-gram: doc, at, tkey, left, right, and the most bytes that the right side shares with another entry."""
-            group.sort(key=lambda e: e[:3])
-            met: set[bytes] = set()
-            for doc, at, tkey, left, right, most in group:
-                both = left + right
-                # A window from `at - o` needs length - o shared bytes on the right.
-                starts = range(min(len(left) - max(0, length - most), len(both) - length) + 1)
-                run = -1
-                for i in starts:
-                    window = both[i : i + length]
-                    if window in met:
-                        run = i if run < 0 else run
-                        continue
-                    met.add(window)
-                    if run >= 0:
-                        out.append((doc, tkey, at - len(left) + run, at - len(left) + i - 1))
-                        run = -1
-                if run >= 0:
-                    out.append((doc, tkey, at - len(left) + run, at - len(left) + starts[-1]))
-
-        group: list[tuple] = []
-        for r, i, shared in merged(sorted_):
-            if group:
-                if shared >= k:
-                    last = group[-1]
-                    group[-1] = (*last[:5], max(last[5], shared))
-                else:
-                    if len(group) > 1:
-                        settle(group)
-                    group = []
-            group.append((int(numbers[0][r][i]), int(numbers[2][r][i]), int(numbers[1][r][i]), lefts[r][i], sorted_[r][0][i], shared if group else 0))
-        if len(group) > 1:
-            settle(group)
-        return pd.DataFrame(out, columns=["doc_id", "tkey", "first", "last"])
+        number = {c: [np.frombuffer(x, "<i8" if c in ("docs", "tkeys") else "<u4").astype(np.int64) for x in frame[c]] for c in _NUMBERS}
+        sorted_ = [(restored(shared, rest, counts), shared.tolist()) for shared, rest, counts in zip(number["shared"], frame["rest"], number["counts"], strict=True)]
+        starts = np.cumsum([0] + [len(x[0]) for x in sorted_])
+        merging = np.array(list(merged(sorted_)), np.int64).reshape(-1, 3)
+        take, shared = starts[merging[:, 0]] + merging[:, 1], merging[:, 2]
+        # Only suffixes that share their K-gram with a neighbour can hold repeats.
+        with_next = np.append(shared[1:] >= k, False)
+        keep = with_next | (shared >= k)
+        keep[:1] = with_next[:1]
+        take, shared = take[keep], shared[keep]
+        shared[:1] = 0
+        docs, tkeys, ats = (np.concatenate([*number[c], np.zeros(0, np.int64)])[take] for c in ("docs", "tkeys", "ats"))
+        lefts = []
+        for left, sizes in zip(frame["left"], number["left_counts"], strict=True):
+            ends = np.cumsum(sizes).tolist()
+            lefts += [left[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        rights = [x for run, _ in sorted_ for x in run]
+        gone = settled([lefts[i] for i in take.tolist()], [rights[i] for i in take.tolist()], shared, length, k, np.lexsort((tkeys, ats, docs)))
+        edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (row, low), (_, high) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        return pd.DataFrame({"doc_id": docs[row], "tkey": tkeys[row], "first": (ats[row] - high + 1).astype(np.int32), "last": (ats[row] - low).astype(np.int32)})
 
     schema = "doc_id long, tkey long, first int, last int"
-    return runs.where("part is not null").groupBy("part").applyInPandas(merge, schema).union(runs.where("part is null").select("doc_id", "tkey", "first", "last"))
+    met = runs.where("part is null and w1 is null").select("doc_id", "tkey", "first", "last")
+    return runs.where("part is not null").select("part", "rest", "left", *_NUMBERS).groupBy("part").applyInPandas(merge, schema).union(met).union(hot_repeats(runs))
+
+
+def hot_repeats(runs: DataFrame) -> DataFrame:
+    """The same for suffixes of hot K-grams: each of their windows' hashes is a key of its own."""
+    windows = runs.where("w1 is not null").select("doc_id", "tkey", "first", "at", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    windows = windows.select("doc_id", "tkey", "at", (F.col("first") + F.col("i")).alias("start"), "w.w1", "w.w2")
+    place = F.struct("doc_id", "at", "tkey")
+    least = windows.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = hot_join(windows, least, ["w1", "w2"]).where(place != F.col("least"))
+    return later.select("doc_id", "tkey", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
 def cut(suspects: DataFrame, length: int, texts: bool) -> DataFrame:
@@ -244,34 +280,43 @@ def cut(suspects: DataFrame, length: int, texts: bool) -> DataFrame:
     return suspects.mapInArrow(rows, "doc_id long, tkey long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def dedup_bytes(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, hot: int = GROUP) -> DataFrame:
     """Remove each byte that a string of `length` bytes covers which also starts earlier: in a smaller id, or earlier in the same document.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes; null where
     nothing was removed) and tkey. Texts that repeat a whole text of a smaller id go in advance; their first copy stands
-    for them. All windows of the others are assigned to their least K-gram; only K-grams that occur again are sorted.
+    for them. All windows of the others are assigned to their least K-gram; only suffixes at K-grams that occur again
+    are sorted, and common prefixes of neighbours decide. Where a K-gram has `hot` places or more, its windows are
+    compared by 128-bit hashes, so that no task gets more than that of one K-gram.
 
     A null text is empty, and texts shorter than `length` lose nothing. Ids are integers; rows with the same id count as
     one document's when places are compared, and equal rows of one id keep what they keep. A null id takes no part: its
-    bytes stay. No rows give no rows. Other columns are left out. Very long texts are one row of work and never cut.
+    bytes stay. No rows give no rows. Other columns are left out. Very long texts are one row of work and never cut. A `length` below k is refused.
     """
+    if not k <= length:
+        raise ValueError(f"a string has {k} bytes at least")
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tkey"))
     key = ["doc_id", "tkey"]
     rows = staged(document_rows(docs, length, k).withColumn("uid", F.monotonically_increasing_id()), "documents")
     facts = rows.select(*key, "n_bytes", "c1", "c2", "sha")
-    firsts = facts.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source != high").drop("high")
-    copies = staged(facts.join(firsts, ["c1", "c2"]).where("doc_id > source").select(*key).distinct(), "copies")
+    firsts = facts.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("source != high").drop("high")
+    copies = staged(hot_join(facts.select(*key, "c1", "c2"), firsts, ["c1", "c2"]).where("doc_id > source").select(*key).distinct(), "copies")
     grams = rows.where("doc_id is not null").select("uid", "c1", F.posexplode("gram").alias("i", "gram"))
     spot = F.xxhash64("c1", "i").alias("spot")
-    repeated = staged(grams.select("gram", spot).groupBy("gram").agg(F.min("spot").alias("a"), F.max("spot").alias("b")).where("a != b").select("gram"), "grams")
-    places = grams.select("gram", "uid", "i").join(repeated, "gram").groupBy("uid").agg(F.collect_list("i").alias("at_i"), F.count(F.lit(1)).alias("n"))
+    repeated = staged(grams.select("gram", spot).groupBy("gram").agg(F.min("spot").alias("a"), F.max("spot").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("gram", "n"), "grams")
+    # A place of a hot K-gram is told by a number below 0.
+    place = F.when(F.col("n") >= hot, -1 - F.col("i")).otherwise(F.col("i"))
+    places = hot_join(grams.select("gram", "uid", "i"), repeated, ["gram"]).groupBy("uid").agg(F.collect_list(place).alias("at_i"), F.count_if(F.col("n") < hot).alias("n"))
     places = rows.select("uid", *key).join(places, "uid").join(copies, key, "left_anti").dropDuplicates(key)
     places = staged(places.select("uid", "at_i", "n"), "places")
     total = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entry = lambda x: F.struct(F.get("gram", x).alias("gram"), F.get("at", x).alias("at"), F.get("lo", x).alias("lo"), F.coalesce(F.get("lo", x + 1) - 1, F.col("n_bytes") - length).cast("int").alias("hi"))
+    at = lambda x: F.when(x < 0, -1 - x).otherwise(x)
+    entry = lambda x: F.struct(F.get("gram", at(x)).alias("gram"), F.get("at", at(x)).alias("at"), F.get("lo", at(x)).alias("lo"), F.coalesce(F.get("lo", at(x) + 1) - 1, F.col("n_bytes") - length).cast("int").alias("hi"), (x < 0).alias("hot"))
     hits = rows.join(places.select("uid", "at_i"), "uid").select(*key, F.transform("at_i", entry).alias("hits"))
     suspects = staged(docs.join(hits, key).dropDuplicates(key).select("doc_id", "text", "tkey", "hits"), "suspects")
+    unstage(repeated, places)
     runs = staged(sorted_runs(suspects, length, k, max(1, -(-total // GROUP))), "runs")
     gone = repeats(runs, length, k).groupBy(key).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     hit = cut(suspects.drop("hits").join(gone, key).select("doc_id", "text", "tkey", "ranges"), length, texts)
