@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultsieve.sources.package import ship
+
 from . import hashing
-from .common import staged
+from .common import hot_join, staged, unstage
 from .components import components
 
 #: A pair at the similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS < 4e-5.
@@ -173,15 +175,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     is the text's xxhash64, which tells rows of one id apart. On request root names the component even where no id does;
     it is null for rows without shingles.
     """
+    ship(docs.sparkSession)
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
     found = staged(document_rows(docs, width, bands, rows), "signatures")
     full = found.where("n > 0")
-    classes = staged(full.groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "tkey")).alias("one")).withColumnRenamed("s1", "cls"), "classes")
+    classes = staged(full.groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "tkey")).alias("one"), F.count(F.lit(1)).alias("copies")).withColumnRenamed("s1", "cls"), "classes")
     banded = classes.select("cls", F.explode("bands").alias("bucket"))
     picks = [F.min(F.struct(F.xxhash64("bucket", "cls", F.lit(i)), "cls"))["cls"].alias(f"hub{i}") for i in range(HUBS)]
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), *picks).where("m > 1")
-    members = staged(banded.join(buckets, "bucket"), "members")
+    buckets = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), *picks).where("m > 1").withColumn("n", F.col("m")), "buckets")
+    members = staged(hot_join(banded, buckets, ["bucket"]).drop("n"), "members")
     small = members.where(F.col("m") <= SMALL).select("bucket", "cls")
     own = small.groupBy("bucket").agg(F.array_sort(F.collect_list("cls")).alias("all"))
     pairs = own.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda x: x > F.col("a"))).alias("b"))
@@ -202,11 +205,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     joined = members.where(F.col("m") > SMALL).select("bucket", "m", "cls").join(known.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", label)
     torn = joined.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     more = staged(block_links(joined.join(torn, "bucket").join(sketches, "cls"), sets, percent), "more")
+    unstage(pairs, members, sets, buckets)
     if not more.isEmpty():
         known = components(links.union(more))
-    rest = found.join(known.select(F.col("id").alias("s1"), F.col("component").alias("linked")), "s1", "left")
-    root = F.when(F.col("n") > 0, F.coalesce("linked", "s1"))
-    named = rest.where("n > 0").groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id"))
-    out = rest.withColumn("root", root).join(named, "root", "left")
-    out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "tkey", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["root"] if roots else []))
+    sized = staged(known.join(classes.select(F.col("cls").alias("id"), "copies"), "id"), "sized")
+    rest = hot_join(found.select("doc_id", "tkey", F.col("n").alias("n_shingles"), "s1"), sized.select(F.col("id").alias("s1"), F.col("component").alias("linked"), F.col("copies").alias("n")), ["s1"], "left")
+    rest = staged(rest.select("doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("linked", "s1")).alias("root")), "rooted")
+    named = staged(rest.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "named")
+    out = hot_join(rest, named, ["root"], "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "tkey", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["root"] if roots else []))
