@@ -55,7 +55,7 @@ HOT, MOST = 1000, 10_000
 
 
 def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """rows.join(keyed, on, how), inner or left, where keyed has a key once, and as `n` how many of the rows hold it.
+    """rows.join(keyed, on, how), inner or left, where keyed (a written table) has a key once, and as `n` how many of the rows hold it.
 
     The at most MOST hottest keys are broadcast, so their rows stay where they are; no other key can hold more than
     one row in MOST.

@@ -75,11 +75,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n, 0, 1), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(n, 0, -1)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n, base, 1), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(n, base, -1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def run_hashes(items: np.ndarray, length: int, base: int = 0) -> np.ndarray:

@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultsieve.sources.package import ship
+
 from . import hashing
-from .common import staged
+from .common import hot_join, staged, unstage
 
 #: Words in a k-mer. Of the k-mers that start in any window - K + 1 words in a row, the one with the least hash is an edge of the graph, so each window has one.
 K = 20
@@ -28,14 +30,14 @@ def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def document_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """One row per document: doc_id, tkey, n_words, c1, c2 (128 bits of the word sequence), sha (of the words joined by one space), and its chosen k-mers as lists: kmer, at (word position), gap (from the chosen k-mer before), prev and next (that and the following link, hashed with the distance; 0 where there is none)."""
+    """One row per document: doc_id, tkey, n_words, c1, c2 (the first 128 bits of sha), sha (of the words joined by one space), and its chosen k-mers as lists: kmer, at (word position), gap (from the chosen k-mer before), prev and next (that and the following link, hashed with the distance; 0 where there is none)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets, _, _, bounds, items in _columns(batch):
                 raw, n = data.tobytes(), last - first
-                sha = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                both = [pa.array(hashing.span_hashes(items, bounds[:-1], bounds[1:], base).view(np.int64)) for base in (0, 1)]
+                digests = [hashlib.sha256(b" ".join(raw[a:b].split())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                sha, both = [x.hexdigest() for x in digests], hashing.halves(digests)
                 at, grams = hashing.anchors(items, bounds, k, window - k + 1)
                 doc = np.searchsorted(bounds, at, "right") - 1
                 gap = np.diff(at, prepend=at[:1])
@@ -61,7 +63,8 @@ def compacted(repeated: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
     up = staged(up, "paths")
     for _ in range(doublings):
         jump = up.select(F.col("kmer").alias("path"), F.col("path").alias("further"), F.col("place").alias("more"))
-        up = staged(up.join(jump, "path").select("kmer", F.col("further").alias("path"), (F.col("place") + F.col("more")).alias("place"), (F.col("further") != F.col("path")).alias("moves")), "paths")
+        before, up = up, staged(up.join(jump, "path").select("kmer", F.col("further").alias("path"), (F.col("place") + F.col("more")).alias("place"), (F.col("further") != F.col("path")).alias("moves")), "paths")
+        unstage(before)
         if up.where("moves").isEmpty():
             break
     return up.select("kmer", "path", "place")
@@ -71,22 +74,23 @@ def repeated_spans(rows: DataFrame, window: int, k: int) -> DataFrame:
     """uid (of a row), spans (array of first and last word position + 1): one span for each occurrence of a compacted path, wide enough for every window that holds one of its k-mers. A window that starts in two different texts is within a span of both."""
     edges = rows.select("uid", F.col("c1").alias("content"), F.inline(F.arrays_zip("kmer", "at", "gap", "prev", "next")))
     only = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c)).alias(c)
-    repeated = edges.groupBy("kmer").agg(only("next"), only("prev"), F.min("gap").alias("gap"), F.min("content").alias("low"), F.max("content").alias("high"))
+    repeated = edges.groupBy("kmer").agg(only("next"), only("prev"), F.min("gap").alias("gap"), F.min("content").alias("low"), F.max("content").alias("high"), F.count(F.lit(1)).alias("n"))
     repeated = staged(repeated.where("low != high").drop("low", "high"), "repeated")
-    seen = edges.select("kmer", "uid", "at").join(compacted(repeated), "kmer")
+    paths = staged(compacted(repeated).join(repeated.select("kmer", "n"), "kmer"), "compacted")
+    seen = hot_join(edges.select("kmer", "uid", "at"), paths, ["kmer"]).drop("n")
     paths = seen.groupBy("uid", "path", (F.col("at") - F.col("place")).alias("along")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
     span = F.struct(F.greatest(F.col("first") - (window - k), F.lit(0)).alias("first"), (F.col("last") + window).alias("last"))
     return paths.groupBy("uid").agg(F.collect_list(span).alias("spans"))
 
 
 def window_rows(suspects: DataFrame, window: int) -> DataFrame:
-    """doc_id, tkey, h1, h2 (128 bits of a window's words), ats (where it starts in the document): one row for each document and distinct window in its spans, so that a word said a thousand times is no thousand rows."""
+    """doc_id, tkey, h1, h2 (128 bits of a window's words, each half of hashes of its own), ats (where it starts in the document): one row for each document and distinct window in its spans, so that a word said a thousand times is no thousand rows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys, spans = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_pylist()
-            for first, last, _, _, _, _, bounds, items in _columns(batch):
+            for first, last, data, _, starts, ends, bounds, items in _columns(batch):
                 if len(items) < window:
                     continue
                 keep = np.zeros(len(items) - window + 1, bool)
@@ -95,7 +99,7 @@ def window_rows(suspects: DataFrame, window: int) -> DataFrame:
                         keep[bounds[doc] + span["first"] : max(0, min(bounds[doc] + span["last"], bounds[doc + 1]) - window + 1)] = True
                 at = np.flatnonzero(keep)
                 doc = np.searchsorted(bounds, at, "right") - 1
-                h1, h2 = (hashing.run_hashes(items, window, base)[at] for base in (0, 1))
+                h1, h2 = (hashing.run_hashes(x, window, base)[at] for base, x in enumerate((items, hashing.word_hashes(data, starts, ends, 1))))
                 order = np.lexsort((h2, h1, doc))
                 at, doc, h1, h2 = (x[order] for x in (at, doc, h1, h2))
                 new = np.ones(len(at), bool)
@@ -146,18 +150,19 @@ def dedup_substrings(docs: DataFrame, window: int = 50, k: int = K, id_col: str
     and empty texts have no words; texts shorter than a window lose none. No rows give no rows. Other columns are left
     out. Very long texts are one row of work and never cut.
     """
+    ship(docs.sparkSession)
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tkey"))
     key = ["doc_id", "tkey"]
     rows = staged(document_rows(docs, window, k).withColumn("uid", F.monotonically_increasing_id()), "documents")
     facts, rows = rows.select(*key, "n_words", "c1", "c2", "sha"), rows.where("doc_id is not null")
-    firsts = facts.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source != high").drop("high")
-    copies = staged(facts.join(firsts, ["c1", "c2"]).where("doc_id > source").select(*key).distinct(), "copies")
+    firsts = staged(facts.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("source != high").drop("high"), "firsts")
+    copies = staged(hot_join(facts.select(*key, "c1", "c2"), firsts, ["c1", "c2"]).where("doc_id > source").select(*key).distinct(), "copies")
     spans = rows.select("uid", *key).join(repeated_spans(rows, window, k), "uid").drop("uid").join(copies, key, "left_anti").dropDuplicates(key)
     suspects = staged(docs.join(spans, key).select("doc_id", "text", "tkey", "spans"), "suspects")
     windows = staged(window_rows(suspects, window), "windows")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source != high").drop("high")
-    gone = windows.join(least, ["h1", "h2"]).where("doc_id > source").groupBy(key).agg(F.flatten(F.collect_list("ats")).alias("starts"))
+    least = staged(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("source != high").drop("high"), "least")
+    gone = hot_join(windows, least, ["h1", "h2"]).where("doc_id > source").groupBy(key).agg(F.flatten(F.collect_list("ats")).alias("starts"))
     hit = cut(suspects.drop("spans").join(gone, key).select("doc_id", "text", "tkey", "starts"), window, texts).dropDuplicates(key)
     if texts:
         hit = staged(hit, "cut")

@@ -255,7 +255,7 @@ def hot_repeats(runs: DataFrame) -> DataFrame:
     windows = runs.where("w1 is not null").select("doc_id", "tkey", "first", "at", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
     windows = windows.select("doc_id", "tkey", "at", (F.col("first") + F.col("i")).alias("start"), "w.w1", "w.w2")
     place = F.struct("doc_id", "at", "tkey")
-    least = windows.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = staged(windows.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "least")
     later = hot_join(windows, least, ["w1", "w2"]).where(place != F.col("least"))
     return later.select("doc_id", "tkey", F.col("start").alias("first"), F.col("start").alias("last"))
 
@@ -301,7 +301,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
     key = ["doc_id", "tkey"]
     rows = staged(document_rows(docs, length, k).withColumn("uid", F.monotonically_increasing_id()), "documents")
     facts = rows.select(*key, "n_bytes", "c1", "c2", "sha")
-    firsts = facts.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("source != high").drop("high")
+    firsts = staged(facts.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("source != high").drop("high"), "firsts")
     copies = staged(hot_join(facts.select(*key, "c1", "c2"), firsts, ["c1", "c2"]).where("doc_id > source").select(*key).distinct(), "copies")
     grams = rows.where("doc_id is not null").select("uid", "c1", F.posexplode("gram").alias("i", "gram"))
     spot = F.xxhash64("c1", "i").alias("spot")
