@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -11,25 +12,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vaultsieve.sources.package import ship
+
 from . import hashing
 from .common import staged
 from .presence import Presence
 
-#: Lengths of n-grams, in bytes of the lower-cased text, and bits of their hash.
+#: Lengths of n-grams, in characters of the lower-cased text, and bits of their hash.
 LENGTHS, BITS = (3, 4, 5, 6), 20
 #: Labelled rows that the model is fitted on at most, by the order of a hash of their ids.
 SAMPLE = 20_000
-#: n-grams that the model keeps: those with the largest chi-square among those in at least LEAST labelled texts.
+#: n-grams that the model keeps unless told otherwise: those with the largest chi-square among those in at least LEAST labelled texts.
 FEATURES, LEAST = 2048, 3
 _SLICES = 64
-_FOLD = hashing.LOWER.copy()
-_FOLD[hashing.SPACE] = 0x20
+
+
+@cache
+def _fold() -> np.ndarray:
+    """Each code point's lower case, where that is one code point, and a space for all white space."""
+    own = (chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(0x110000))
+    return np.array([0x20 if c.isspace() else ord(low) if len(low := c.lower()) == 1 else ord(c) for c in own], np.uint32)
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points of UTF-8 texts, and where each text begins among them."""
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    return _fold()[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")], before[offsets]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length: the hashes of all n-grams of the bytes, and where a start may be. An n-gram lies in one text."""
+    """For each length: the hashes of all n-grams of the characters, and where a start may be. An n-gram lies in one text."""
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    data = _FOLD[data].astype(np.uint32)
     run = np.zeros(len(data), np.uint32)
     for n in range(1, max(LENGTHS) + 1):
         if len(data) < n:
@@ -43,6 +57,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
 def found(column: pa.Array, slots: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a string column with the distinct (row, slot) pairs in them; slots maps a hash to a feature, or -1."""
     for first, last, data, offsets in hashing.chunks(column, 1 << 18):
+        data, offsets = characters(data, offsets)
         rows, kept = [], []
         for hashes, inside in grams(data, offsets):
             slot = slots[hashes]
@@ -58,14 +73,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> D
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).dropna()
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def ratios(sample: DataFrame) -> DataFrame:
+def ratios(sample: DataFrame, features: int = FEATURES) -> DataFrame:
     """hash, ratio of the chosen n-grams: the log of the share of toxic texts with it over the share of others, one added to each count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +106,7 @@ def ratios(sample: DataFrame) -> DataFrame:
         return pd.DataFrame({"hash": int(part["slice"].iat[0]) * len(other) + at, "chi": chi[at], "ratio": ratio[at]})
 
     sums = sample.mapInArrow(count, "slice long, other binary, toxic binary, n_other long, n_toxic long").groupBy("slice").applyInPandas(add, "hash long, chi double, ratio double")
-    return sums.orderBy(F.desc("chi"), "hash").limit(FEATURES).select("hash", "ratio")
+    return sums.orderBy(F.desc("chi"), "hash").limit(features).select("hash", "ratio")
 
 
 def fit(present: Presence, label: np.ndarray, scale: np.ndarray, rounds: int = 15, decay: float = 0.1) -> tuple[np.ndarray, float]:
@@ -127,11 +142,11 @@ def fit(present: Presence, label: np.ndarray, scale: np.ndarray, rounds: int = 1
     return weight[:-1] * scale, float(weight[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """The slot of each n-gram hash (-1: none), the weight of each slot, and the offset. Without labelled rows, only an offset below 0."""
     sample = staged(labelled_sample(docs, labels, rows), "labelled")
-    chosen = ratios(sample).toPandas()  # FEATURES rows at most
-    slots = np.full(1 << BITS, -1, np.int16)
+    chosen = ratios(sample, features).toPandas()  # that many rows at most
+    slots = np.full(1 << BITS, -1, np.int32)
     slots[chosen["hash"].to_numpy(dtype=np.int64)] = np.arange(len(chosen))
     scale = chosen["ratio"].to_numpy(dtype=float)
 
@@ -152,17 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[np.nd
     return slots, weight, bias
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5) for every document; the whole text is read. With `carry`, also a struct `carried` of these columns of docs.
 
-    The model learns from labels (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0, on at most `sample` rows.
+    The model learns from labels (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0, on at most `sample` rows, and keeps at most `features` n-grams.
     A text's features are the distinct n-grams in it, whatever its length. A null or empty text has none and gets the
-    offset's score. Repeated labels of an id: the highest counts. Null labels and labels of no document are left out,
+    offset's score. Repeated labels of an id: the highest counts; of an id's repeated rows the least text is learned from. Null labels and labels of no document are left out,
     and a null id is not held out. No documents give no rows, no labels the score 1/3. Other columns are left out.
     """
+    ship(docs.sparkSession)
     own = F.col(text_col).cast("string")
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), own.alias("text"))
-    slots, weight, bias = train(whole, labels, sample)
+    slots, weight, bias = train(whole, labels, sample, features)
     # With documents to carry, the text travels once, within them.
     within = carry.index(text_col) if carry and text_col in carry else None
     carried = F.struct(*[own.alias(c) if c == text_col else F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
