@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultsieve.sources.package import ship
+
 from . import hashing
 from .common import staged
 from .presence import Presence
@@ -154,12 +156,13 @@ def score(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     The labellers vote on whole texts. Counts of the vote patterns of all documents (3 to the power of the number of
     labellers at most, whatever the corpus; added up in each task first) give the labellers' accuracies by
     expectation-maximisation. The posterior then labels a bounded sample (the least hashes of id and text) that a hashed
-    linear word scorer is fitted on. The score is the mean of both in log-odds, so that a document with few votes is
+    linear word scorer is fitted on, in which repeated rows count once. The score is the mean of both in log-odds, so that a document with few votes is
     judged by its words, too.
 
     A null text counts as empty: it is voted bad by the length labeller. Repeated rows and ids are documents of their
     own. Without documents there are no rows. Other columns are left out.
     """
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
 
@@ -177,7 +180,7 @@ def score(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     prior, chance = estimate(seen, np.array([r["n"] for r in counted], float))
     place = F.xxhash64("doc_id", "text")
     least = docs.select(place.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    few = staged(docs.where(place <= F.lit(least)).select("text"), "sample") if least is not None else docs.select("text")
+    few = staged(docs.where(place <= F.lit(least)).groupBy(place.alias("h")).agg(F.min("text").alias("text")).select("text"), "sample") if least is not None else docs.select("text")
     weight, bias = fit_scorer(few, prior, chance)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
