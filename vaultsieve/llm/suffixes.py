@@ -137,6 +137,11 @@ _NUMBERS = ("shared", "counts", "left_counts", "docs", "tkeys", "ats")
 _RUN = "part long, rest binary, left binary, " + "".join(f"{x} binary, " for x in _NUMBERS) + "doc_id long, tkey long, first int, last int, at int, w1 array<long>, w2 array<long>"
 
 
+def packed(length: int) -> tuple[str, ...]:
+    """How the numbers of a run are stored: counts of up to `length` bytes, ids and places."""
+    return (*["<u2" if length < 1 << 16 else "<u4"] * 3, "<i8", "<i8", "<u4")
+
+
 def sorted_runs(suspects: DataFrame, length: int, k: int, parts: int) -> DataFrame:
     """doc_id, text, tkey, hits (gram, at, lo, hi, hot) to rows of three kinds.
 
@@ -165,11 +170,14 @@ def sorted_runs(suspects: DataFrame, length: int, k: int, parts: int) -> DataFra
                 hot.append(e) if e[6] else by.setdefault(e[3] % parts, []).append(e)
             held.clear()
             yield table(dict(zip(("doc_id", "tkey", "first", "last"), zip(*again, strict=True), strict=True)) if again else {}, len(again))
+            coded: dict[str, list] = {c: [] for c in ("part", "rest", "left", *_NUMBERS)}
             for part, entries in by.items():
                 entries.sort(key=lambda e: e[8])
                 shared, rest, counts = front_coded([e[8] for e in entries])
                 numbers = [shared, counts, [len(e[7]) for e in entries], [e[0] for e in entries], [e[2] for e in entries], [e[1] for e in entries]]
-                yield table({"part": [part], "rest": [rest], "left": [b"".join(e[7] for e in entries)]} | {c: [np.array(x, np.int64).astype("<i8" if c in ("docs", "tkeys") else "<u4").tobytes()] for c, x in zip(_NUMBERS, numbers, strict=True)}, 1)
+                for c, x in zip(coded, (part, rest, b"".join(e[7] for e in entries), *(np.array(x, np.int64).astype(kind).tobytes() for x, kind in zip(numbers, packed(length), strict=True))), strict=True):
+                    coded[c].append(x)
+            yield table(coded, len(by))
             for first in range(0, len(hot), 2000):
                 some = hot[first : first + 2000]
                 raw = [np.frombuffer(e[7] + e[8], np.uint8).astype(np.uint64) + np.uint64(1) for e in some]
@@ -223,7 +231,7 @@ def repeats(runs: DataFrame, length: int, k: int) -> DataFrame:
     """doc_id, tkey, first, last: starts of windows that also start earlier, from the merged runs of each part."""
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        number = {c: [np.frombuffer(x, "<i8" if c in ("docs", "tkeys") else "<u4").astype(np.int64) for x in frame[c]] for c in _NUMBERS}
+        number = {c: [np.frombuffer(x, kind).astype(np.int64) for x in frame[c]] for c, kind in zip(_NUMBERS, packed(length), strict=True)}
         sorted_ = [(restored(shared, rest, counts), shared.tolist()) for shared, rest, counts in zip(number["shared"], frame["rest"], number["counts"], strict=True)]
         starts = np.cumsum([0] + [len(x[0]) for x in sorted_])
         merging = np.array(list(merged(sorted_)), np.int64).reshape(-1, 3)
@@ -300,7 +308,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tkey"))
     key = ["doc_id", "tkey"]
     rows = staged(document_rows(docs, length, k).withColumn("uid", F.monotonically_increasing_id()), "documents")
-    facts = rows.select(*key, "n_bytes", "c1", "c2", "sha")
+    facts = staged(rows.select(*key, "n_bytes", "c1", "c2", "sha"), "facts")
     firsts = staged(facts.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("source != high").drop("high"), "firsts")
     copies = staged(hot_join(facts.select(*key, "c1", "c2"), firsts, ["c1", "c2"]).where("doc_id > source").select(*key).distinct(), "copies")
     grams = rows.where("doc_id is not null").select("uid", "c1", F.posexplode("gram").alias("i", "gram"))
@@ -316,7 +324,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
     entry = lambda x: F.struct(F.get("gram", at(x)).alias("gram"), F.get("at", at(x)).alias("at"), F.get("lo", at(x)).alias("lo"), F.coalesce(F.get("lo", at(x) + 1) - 1, F.col("n_bytes") - length).cast("int").alias("hi"), (x < 0).alias("hot"))
     hits = rows.join(places.select("uid", "at_i"), "uid").select(*key, F.transform("at_i", entry).alias("hits"))
     suspects = staged(docs.join(hits, key).dropDuplicates(key).select("doc_id", "text", "tkey", "hits"), "suspects")
-    unstage(repeated, places)
+    unstage(repeated, places, firsts, rows)
     runs = staged(sorted_runs(suspects, length, k, max(1, -(-total // GROUP))), "runs")
     gone = repeats(runs, length, k).groupBy(key).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     hit = cut(suspects.drop("hits").join(gone, key).select("doc_id", "text", "tkey", "ranges"), length, texts)
