@@ -1,7 +1,7 @@
 """Curves, thresholds, metrics and acceptance of scored rows: columns label (0, 1) and score.
 
-Every curve is over distinct scores, of which a window without a key holds one row each; scores are grouped first, by an
-aggregate that combines before its shuffle.
+Curves are over distinct scores, which are grouped first, by an aggregate that combines before its shuffle. Running sums
+are taken in ranges of the score, to which the totals of the ranges before are added, so no task sorts all scores.
 """
 
 from __future__ import annotations
@@ -11,12 +11,28 @@ from pyspark.sql import functions as F
 
 from vaultsieve.functions.constants import AGGREGATE, CATEGORY_WEIGHTS
 
+#: Ranges of scores, of about as many distinct ones, and the error of their bounds' ranks.
+RANGES, ERROR = 256, 0.001
 
-def curve(rows: DataFrame) -> DataFrame:
-    """score, tp, fp, positives, negatives, precision, recall of the rule `at least score`, one row per distinct score."""
+
+def cumulative(rows: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """score, p, n (positives and negatives of that score), tp, fp (of that score and higher ones), positives, negatives."""
     by = rows.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    down, whole = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
-    made = by.select("score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("positives"), F.sum("n").over(whole).alias("negatives"))
+    bounds = sorted(set(by.stat.approxQuantile("score", [i / ranges for i in range(1, ranges)], ERROR)))
+    by = by.withColumn("range", F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]), lambda x: x <= F.col("score"))) if bounds else F.lit(0))
+    totals = by.groupBy("range").agg(F.sum("p").alias("range_p"), F.sum("n").alias("range_n"))
+    # One row for each range.
+    down, whole = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
+    before = [F.coalesce(F.sum(f"range_{x}").over(down), F.lit(0)).alias(f"before_{x}") for x in ("p", "n")]
+    totals = totals.select("range", *before, F.sum("range_p").over(whole).alias("positives"), F.sum("range_n").over(whole).alias("negatives"))
+    within = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    made = by.select("score", "p", "n", "range", F.sum("p").over(within).alias("run_p"), F.sum("n").over(within).alias("run_n")).join(F.broadcast(totals), "range")
+    return made.select("score", "p", "n", (F.col("run_p") + F.col("before_p")).alias("tp"), (F.col("run_n") + F.col("before_n")).alias("fp"), "positives", "negatives")
+
+
+def curve(rows: DataFrame) -> DataFrame:
+    """score, tp, fp, positives, negatives, precision, recall of the rule `at least score`, one row per distinct score. Rows without a score take no part."""
+    made = cumulative(rows.where(F.col("score").isNotNull())).drop("p", "n")
     return made.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.when(F.col("positives") > 0, F.col("tp") / F.col("positives")).otherwise(0.0)})
 
 
@@ -60,8 +76,7 @@ def metrics(rows: DataFrame, at: float = 0.5, by: list[str] | None = None) -> Da
 
 def auc(rows: DataFrame) -> DataFrame:
     """One row: the chance that a positive scores above a negative, ties half; null without both."""
-    by = curve(rows).withColumn("n", F.col("fp") - F.coalesce(F.lag("fp").over(Window.orderBy(F.desc("score"))), F.lit(0)))
-    by = by.withColumn("p", F.col("tp") - F.coalesce(F.lag("tp").over(Window.orderBy(F.desc("score"))), F.lit(0)))
+    by = cumulative(rows.where(F.col("score").isNotNull()))
     return by.agg((F.sum(F.col("p") * (F.col("negatives") - F.col("fp") + F.col("n") / 2)) / F.nullif(F.max("positives") * F.max("negatives"), F.lit(0))).alias("auc"))
 
 
