@@ -199,10 +199,10 @@ def r_json(spark, sf):
     return found.select(back.alias("j"), text.alias("t")).select("j.file", "j.line_no", "j.type", "j.snippet", F.col("t").contains('"token":').alias("has_token"))
 
 
-@query("r_table", f"WITH {oracle.FINDINGS} SELECT severity, file, CAST(line_no AS BIGINT) AS line_no, type FROM findings ORDER BY severity, file, line_no, type LIMIT 50")
+@query("r_table", f"WITH {oracle.FINDINGS} SELECT severity, file, CAST(line_no AS BIGINT) AS line_no, type FROM findings")
 def r_table(spark, sf):
-    """The head of the table as it is shown: by the text of the severity, file and line."""
-    return _findings(spark, sf).select("severity", "file", "line_no", "type").orderBy("severity", "file", "line_no", "type").limit(50)
+    """The table as it is shown: by the text of the severity, file and line."""
+    return _findings(spark, sf).select("severity", "file", "line_no", "type").orderBy("severity", "file", "line_no", "type")
 
 
 @query("r_table_all", f"WITH {oracle.FINDINGS} SELECT severity, file, CAST(line_no AS BIGINT) AS line_no, type, coalesce({_REDACTED}, '—') AS secret FROM findings")
@@ -422,9 +422,9 @@ def t_routing(spark, sf):
     return scores(spark, sf).agg(F.count_if(route == "safe").alias("safe"), F.count_if(route == "review").alias("review"), F.count_if(route == "blocked").alias("secret"), F.round(100.0 * F.count_if(route == "review") / F.count(F.lit(1)), 6).alias("review_percent"))
 
 
-@query("t_topk_errors", f"{W}, e AS (SELECT *, CASE WHEN label = 0 AND score >= 0.4 THEN 'fp' WHEN label = 1 AND score < 0.6 THEN 'fn' END AS kind0 FROM s), x AS (SELECT id, score, token, kind0 AS error, count(*) OVER (PARTITION BY kind0) AS total, row_number() OVER (PARTITION BY kind0 ORDER BY CASE WHEN kind0 = 'fp' THEN -score ELSE score END, id) AS rn FROM (SELECT * FROM e WHERE kind0 = 'fp' UNION ALL SELECT * FROM (SELECT *, CASE WHEN label = 1 AND score < 0.6 THEN 'fn' END AS k2 FROM s) WHERE false) ) SELECT error, id, score, CAST(total AS BIGINT) AS total, CASE WHEN length(token) > 20 THEN left(token, 20) || '...' ELSE token END AS token FROM x WHERE rn <= 10".replace(" UNION ALL SELECT * FROM (SELECT *, CASE WHEN label = 1 AND score < 0.6 THEN 'fn' END AS k2 FROM s) WHERE false", ""))
+@query("t_topk_errors", f"{W}, e AS (SELECT *, CASE WHEN label = 0 AND score >= 0.4 THEN 'fp' WHEN label = 1 AND score < 0.4 THEN 'fn' END AS error FROM s), x AS (SELECT *, count(*) OVER (PARTITION BY error) AS total, row_number() OVER (PARTITION BY error ORDER BY CASE WHEN error = 'fp' THEN -score ELSE score END, id) AS rn FROM e WHERE error IS NOT NULL) SELECT error, id, score, CAST(total AS BIGINT) AS total, CASE WHEN length(token) > 20 THEN left(token, 20) || '...' ELSE token END AS token FROM x WHERE rn <= 10")
 def t_topk_errors(spark, sf):
-    made = evaluation.top_errors(scores(spark, sf).drop("kind"), 0.4, 10, "id").where("kind = 'fp'")
+    made = evaluation.top_errors(scores(spark, sf).drop("kind"), 0.4, 10, "id")
     return made.select(F.col("kind").alias("error"), "id", "score", "total", "token")
 
 
@@ -485,7 +485,15 @@ def w_rate_window(spark, sf):
     return service.requests_in_window(spark.read.parquet(f"{sf}/events.parquet"), 3600).select("event_id", "in_window")
 
 
-@query("w_rate_exact")
+_EXACT = """WITH RECURSIVE e AS (SELECT user_id AS client, event_id, epoch_us(ts) / 1e6::DOUBLE AS t0, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events), r AS (
+  SELECT client, event_id, t0, rn, true AS allowed, 1::BIGINT AS remaining, 0::BIGINT AS retry_after, [t0] AS times FROM e WHERE rn = 1
+  UNION ALL
+  SELECT client, event_id, t0, rn, len(k) < 2, CASE WHEN len(k) < 2 THEN 1 - len(k) ELSE 0 END, CASE WHEN len(k) < 2 THEN 0 ELSE greatest(1, CAST(floor(k[1] + 86400 - t0) AS BIGINT) + 1) END, CASE WHEN len(k) < 2 THEN list_append(k, t0) ELSE k END
+  FROM (SELECT e.*, list_filter(r.times, lambda t: t > e.t0 - 86400) AS k FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1)
+) SELECT client, event_id, t0 AS "at", allowed, CAST(remaining AS INT) AS remaining, CAST(retry_after AS INT) AS retry_after FROM r"""
+
+
+@query("w_rate_exact", _EXACT)
 def w_rate_exact(spark, sf):
     """Decisions of the exact limiter on the events table; the streaming form keeps the same state."""
     ship(spark)
