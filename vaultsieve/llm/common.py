@@ -50,6 +50,11 @@ def unstage(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done, which it else does at the driver's next collection of garbage, however late that is."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a key that make it hot, and hot keys that are broadcast at most: those of the most rows.
 HOT, MOST = 1000, 10_000
 

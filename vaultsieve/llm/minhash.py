@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vaultsieve.sources.package import ship
 
 from . import hashing
-from .common import hot_join, staged, unstage
+from .common import free_shuffles, hot_join, staged, unstage
 from .components import components
 
 #: A pair at the similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS < 4e-5.
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     torn = joined.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     more = staged(block_links(joined.join(torn, "bucket").join(sketches, "cls"), sets, percent), "more")
     unstage(pairs, members, sets, buckets)
+    free_shuffles(docs.sparkSession)
     if not more.isEmpty():
         known = components(links.union(more))
     sized = staged(known.join(classes.select(F.col("cls").alias("id"), "copies"), "id"), "sized")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vaultsieve.sources.package import ship
 
 from . import hashing
-from .common import hot_join, staged, unstage
+from .common import free_shuffles, hot_join, staged, unstage
 
 #: Words in a k-mer. Of the k-mers that start in any window - K + 1 words in a row, the one with the least hash is an edge of the graph, so each window has one.
 K = 20
@@ -160,6 +160,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, k: int = K, id_col: str
     copies = staged(hot_join(facts.select(*key, "c1", "c2"), firsts, ["c1", "c2"]).where("doc_id > source").select(*key).distinct(), "copies")
     spans = rows.select("uid", *key).join(repeated_spans(rows, window, k), "uid").drop("uid").join(copies, key, "left_anti").dropDuplicates(key)
     suspects = staged(docs.join(spans, key).select("doc_id", "text", "tkey", "spans"), "suspects")
+    free_shuffles(docs.sparkSession)
     windows = staged(window_rows(suspects, window), "windows")
     least = staged(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("source != high").drop("high"), "least")
     gone = hot_join(windows, least, ["h1", "h2"]).where("doc_id > source").groupBy(key).agg(F.flatten(F.collect_list("ats")).alias("starts"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vaultsieve.sources.package import ship
 
 from . import hashing
-from .common import hot_join, staged, unstage
+from .common import free_shuffles, hot_join, staged, unstage
 
 #: Bytes in a K-gram; a window of `length` bytes holds length - K + 1 of them.
 K = 40
@@ -314,17 +314,21 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
     grams = rows.where("doc_id is not null").select("uid", "c1", F.posexplode("gram").alias("i", "gram"))
     spot = F.xxhash64("c1", "i").alias("spot")
     repeated = staged(grams.select("gram", spot).groupBy("gram").agg(F.min("spot").alias("a"), F.max("spot").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("gram", "n"), "grams")
+    free_shuffles(docs.sparkSession)
     # A place of a hot K-gram is told by a number below 0.
     place = F.when(F.col("n") >= hot, -1 - F.col("i")).otherwise(F.col("i"))
     places = hot_join(grams.select("gram", "uid", "i"), repeated, ["gram"]).groupBy("uid").agg(F.collect_list(place).alias("at_i"), F.count_if(F.col("n") < hot).alias("n"))
     places = rows.select("uid", *key).join(places, "uid").join(copies, key, "left_anti").dropDuplicates(key)
     places = staged(places.select("uid", "at_i", "n"), "places")
+    unstage(repeated, firsts)
+    free_shuffles(docs.sparkSession)
     total = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     at = lambda x: F.when(x < 0, -1 - x).otherwise(x)
     entry = lambda x: F.struct(F.get("gram", at(x)).alias("gram"), F.get("at", at(x)).alias("at"), F.get("lo", at(x)).alias("lo"), F.coalesce(F.get("lo", at(x) + 1) - 1, F.col("n_bytes") - length).cast("int").alias("hi"), (x < 0).alias("hot"))
     hits = rows.join(places.select("uid", "at_i"), "uid").select(*key, F.transform("at_i", entry).alias("hits"))
     suspects = staged(docs.join(hits, key).dropDuplicates(key).select("doc_id", "text", "tkey", "hits"), "suspects")
-    unstage(repeated, places, firsts, rows)
+    unstage(places, rows)
+    free_shuffles(docs.sparkSession)
     runs = staged(sorted_runs(suspects, length, k, max(1, -(-total // GROUP))), "runs")
     gone = repeats(runs, length, k).groupBy(key).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     hit = cut(suspects.drop("hits").join(gone, key).select("doc_id", "text", "tkey", "ranges"), length, texts)
