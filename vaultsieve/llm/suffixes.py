@@ -29,7 +29,7 @@ _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
 def document_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """One row per document: doc_id, tkey, n_bytes, c1, c2 (the first 128 bits of sha), sha, and its least K-grams in lists: gram, at, lo. Windows that start at lo or later, up to the next entry's lo, have their least K-gram at `at`."""
+    """One row per document: doc_id, tkey, n_bytes, c1, c2 (the first 128 bits of sha), sha, and its least K-grams in lists: gram, at, lo, hi. Windows that start at lo to hi have their least K-gram at `at`."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,7 +38,7 @@ def document_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
                 digests = [hashlib.sha256(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 sha, both = [x.hexdigest() for x in digests], hashing.halves(digests)
                 items = data.astype(np.uint64) + np.uint64(1)
-                start = at = np.zeros(0, np.int64)
+                start = end = at = np.zeros(0, np.int64)
                 grams = np.zeros(0, np.uint64)
                 if len(data) >= length:
                     grams = hashing.run_hashes(items, k)
@@ -47,14 +47,15 @@ def document_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
                     at = (low[start] & _LOW).astype(np.int64)
                     new = np.ones(len(start), bool)
                     new[1:] = at[1:] != at[:-1]  # K-grams lie in one document, so a new document is a new place
+                    end = start[np.append(new[1:], True)]
                     start, at = start[new], at[new]
                     grams = grams[at]
                 doc = np.searchsorted(offsets, start, "right") - 1
                 lists = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
-                of = [grams.view(np.int64), (at - offsets[doc]).astype(np.int32), (start - offsets[doc]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(np.diff(offsets)), *both, pa.array(sha, pa.string()), *(pa.ListArray.from_arrays(lists, pa.array(x)) for x in of)], names=["doc_id", "tkey", "n_bytes", "c1", "c2", "sha", "gram", "at", "lo"])
+                of = [grams.view(np.int64), (at - offsets[doc]).astype(np.int32), (start - offsets[doc]).astype(np.int32), (end - offsets[doc]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(np.diff(offsets)), *both, pa.array(sha, pa.string()), *(pa.ListArray.from_arrays(lists, pa.array(x)) for x in of)], names=["doc_id", "tkey", "n_bytes", "c1", "c2", "sha", "gram", "at", "lo", "hi"])
 
-    return docs.mapInArrow(rows, "doc_id long, tkey long, n_bytes long, c1 long, c2 long, sha string, gram array<long>, at array<int>, lo array<int>")
+    return docs.mapInArrow(rows, "doc_id long, tkey long, n_bytes long, c1 long, c2 long, sha string, gram array<long>, at array<int>, lo array<int>, hi array<int>")
 
 
 def front_coded(strings: list[bytes]) -> tuple[np.ndarray, bytes, np.ndarray]:
@@ -311,23 +312,18 @@ def dedup_bytes(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
     facts = staged(rows.select(*key, "n_bytes", "c1", "c2", "sha"), "facts")
     firsts = staged(facts.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull()).groupBy("c1", "c2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("source != high").drop("high"), "firsts")
     copies = staged(hot_join(facts.select(*key, "c1", "c2"), firsts, ["c1", "c2"]).where("doc_id > source").select(*key).distinct(), "copies")
-    grams = rows.where("doc_id is not null").select("uid", "c1", F.posexplode("gram").alias("i", "gram"))
+    grams = rows.where("doc_id is not null").select("uid", "c1", F.posexplode(F.arrays_zip("gram", "at", "lo", "hi")).alias("i", "x")).select("uid", "c1", "i", "x.*")
     spot = F.xxhash64("c1", "i").alias("spot")
     repeated = staged(grams.select("gram", spot).groupBy("gram").agg(F.min("spot").alias("a"), F.max("spot").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("gram", "n"), "grams")
     free_shuffles(docs.sparkSession)
-    # A place of a hot K-gram is told by a number below 0.
-    place = F.when(F.col("n") >= hot, -1 - F.col("i")).otherwise(F.col("i"))
-    places = hot_join(grams.select("gram", "uid", "i"), repeated, ["gram"]).groupBy("uid").agg(F.collect_list(place).alias("at_i"), F.count_if(F.col("n") < hot).alias("n"))
-    places = rows.select("uid", *key).join(places, "uid").join(copies, key, "left_anti").dropDuplicates(key)
-    places = staged(places.select("uid", "at_i", "n"), "places")
-    unstage(repeated, firsts)
+    hit = F.struct("gram", "at", "lo", "hi", (F.col("n") >= hot).alias("hot"))
+    places = hot_join(grams.select("gram", "uid", "at", "lo", "hi"), repeated, ["gram"]).groupBy("uid").agg(F.collect_list(hit).alias("hits"), F.count_if(F.col("n") < hot).alias("n"))
+    places = staged(rows.select("uid", *key).join(places, "uid").join(copies, key, "left_anti").dropDuplicates(key).select(*key, "hits", "n"), "places")
+    unstage(repeated, firsts, rows)
     free_shuffles(docs.sparkSession)
     total = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    at = lambda x: F.when(x < 0, -1 - x).otherwise(x)
-    entry = lambda x: F.struct(F.get("gram", at(x)).alias("gram"), F.get("at", at(x)).alias("at"), F.get("lo", at(x)).alias("lo"), F.coalesce(F.get("lo", at(x) + 1) - 1, F.col("n_bytes") - length).cast("int").alias("hi"), (x < 0).alias("hot"))
-    hits = rows.join(places.select("uid", "at_i"), "uid").select(*key, F.transform("at_i", entry).alias("hits"))
-    suspects = staged(docs.join(hits, key).dropDuplicates(key).select("doc_id", "text", "tkey", "hits"), "suspects")
-    unstage(places, rows)
+    suspects = staged(docs.join(places.drop("n"), key).dropDuplicates(key).select("doc_id", "text", "tkey", "hits"), "suspects")
+    unstage(places)
     free_shuffles(docs.sparkSession)
     runs = staged(sorted_runs(suspects, length, k, max(1, -(-total // GROUP))), "runs")
     gone = repeats(runs, length, k).groupBy(key).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
