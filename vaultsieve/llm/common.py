@@ -51,7 +51,7 @@ def unstage(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are done, which it else does at the driver's next collection of garbage, however late that is."""
+    """Let Spark delete the shuffle files of jobs that are done, which it else does at the driver's next collection of garbage, however late that is. The last job's files stay."""
     spark.sparkContext._jvm.System.gc()
 
 
@@ -66,7 +66,9 @@ def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner
     one row in MOST.
     """
     hot = staged(keyed.where(F.col("n") >= HOT).orderBy(F.desc("n"), *on).limit(MOST), "hot-keys")
-    if hot.isEmpty():
+    none = hot.isEmpty()
+    free_shuffles(rows.sparkSession)
+    if none:
         return rows.join(keyed, on, how)
     names = F.broadcast(hot.select(*on))
     cold = rows.join(names, on, "left_anti").join(keyed.join(names, on, "left_anti"), on, how)
