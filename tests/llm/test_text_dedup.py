@@ -185,3 +185,12 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
     for how in ("inner", "left"):
         got = sorted((r.k, r.i, r.v or "") for r in common.hot_join(rows, keyed, ["k"], how).collect())
         assert got == sorted((k, i, "" if k == 2 else f"v{k}") for k in range(6) for i in range(k) if how == "left" or k != 2)
+
+
+@pytest.mark.parametrize("length", [100, 300])
+def test_parts_of_short_texts_only(spark, length):
+    long = "".join(chr(97 + (i * i) % 23) for i in range(400))
+    short = [(i, "a title of a few words " * (i % 4)) for i in range(40)]
+    for rows in (short, [(i, t) for i, t in short if not t], [*short, (50, long), (51, long)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 if rows is short else 3)
+        assert sorted(tuple(x)[:4] for x in suffixes.dedup_bytes(docs, length=length).collect()) == removed_bytes(rows, length)

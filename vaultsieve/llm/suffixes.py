@@ -47,7 +47,9 @@ def document_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
                     at = (low[start] & _LOW).astype(np.int64)
                     new = np.ones(len(start), bool)
                     new[1:] = at[1:] != at[:-1]  # K-grams lie in one document, so a new document is a new place
-                    end = start[np.append(new[1:], True)]
+                    last = np.ones(len(start), bool)
+                    last[:-1] = new[1:]
+                    end = start[last]
                     start, at = start[new], at[new]
                     grams = grams[at]
                 doc = np.searchsorted(offsets, start, "right") - 1
