@@ -10,7 +10,7 @@ SCRIPT = """
 import sys, tempfile
 sys.path.insert(0, ROOT)
 from pyspark.sql import SparkSession, functions as F
-from vaultsieve.llm import embedding_dedup, html, minhash, mixing, neighbours, packing, quality, substrings, suffixes, toxicity
+from vaultsieve.llm import embedding_dedup, filter_audit, html, importance, minhash, mixing, neighbours, packing, quality, substrings, suffixes, toxicity, url_filter
 from vaultsieve.llm.queries import tokenizer_path
 
 docs = lambda s: s.createDataFrame([(i, "a few words of text " * i, "x") for i in range(9)], "doc_id long, text string, source string")
@@ -21,6 +21,8 @@ calls = [
     lambda s: toxicity.score(docs(s), s.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")),
     lambda s: html.main_text(s.createDataFrame([(1, "http://a/", "<p>a b")], "page_id long, url string, html string")),
     lambda s: neighbours.nearest(vectors(s), F.col("vec_id") % 20 == 0), lambda s: embedding_dedup.duplicate_vectors(vectors(s)),
+    lambda s: importance.resample(docs(s), docs(s)), lambda s: url_filter.judge(s.createDataFrame([(1, "http://a/")], "page_id long, url string")),
+    lambda s: filter_audit.audit(docs(s), s.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")),
 ]
 for call in calls:
     spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
@@ -36,7 +38,7 @@ def test_each_operator_called_first_without_the_package_on_the_path(tmp_path):
     keep = [p for p in os.environ.get("PYTHONPATH", "").split(":") if p and Path(p).resolve() != ROOT]
     env |= {"PYTHONPATH": ":".join(keep)} if keep else {}
     done = subprocess.run([sys.executable, "-c", f"ROOT = {str(ROOT)!r}\n{SCRIPT}"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
-    assert done.stdout.strip().endswith("all 10"), done.stderr[-3000:]
+    assert done.stdout.strip().endswith("all 13"), done.stderr[-3000:]
 
 
 def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):

@@ -8,10 +8,10 @@ chunk's n-grams, in their order, which the chunk's documents then look up.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -39,23 +39,26 @@ def _crc_table() -> np.ndarray:
     return table
 
 
-_CRC = _crc_table()
+_CRC, _LONG = _crc_table(), 128
 
 
 def crc32s(strings: pa.Array) -> np.ndarray:
-    """The unsigned crc32 of each of the strings, byte by byte for all at once."""
+    """The unsigned crc32 of each of the strings, byte by byte for all at once but the few of more than _LONG bytes."""
     strings = strings.cast(pa.large_binary())
     offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
     data = np.frombuffer(strings.buffers()[2], np.uint8) if strings.buffers()[2] else np.zeros(0, np.uint8)
     size = np.diff(offsets)
     order = np.argsort(-size, kind="stable")
     start, size = offsets[:-1][order], size[order]
+    few = int(np.searchsorted(-size, -_LONG, "left"))
+    out = np.empty(len(order), np.uint32)
+    out[order[:few]] = [zlib.crc32(data[a : a + n]) for a, n in zip(start[:few].tolist(), size[:few].tolist(), strict=True)]
+    order, start, size = order[few:], start[few:], size[few:]
     state = np.full(len(order), 0xFFFFFFFF, np.uint32)
     # Longest first, so that those still with bytes are a prefix.
     longer = np.searchsorted(-size, -np.arange(1, int(size.max(initial=0)) + 1), "right")
     for i, n in enumerate(longer.tolist()):
         state[:n] = _CRC[(state[:n] ^ data[start[:n] + i]) & np.uint32(0xFF)] ^ (state[:n] >> np.uint32(8))
-    out = np.empty(len(order), np.uint32)
     out[order] = ~state
     return out
 
@@ -325,7 +328,7 @@ b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 fd AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS f FROM d, range(1, 4) g(k), unnest(range(1, len(w) - k + 2)) u(i)) GROUP BY ALL),
 fb AS (SELECT f, count(*) AS n FROM (SELECT array_to_string(w[i:i + k - 1], ' ') AS f FROM b, range(1, 4) g(k), unnest(range(1, len(w) - k + 2)) u(i)) GROUP BY f),
 names AS (SELECT f FROM fd UNION SELECT f FROM fb),
-dict AS (SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || substr(hex(f::BLOB), 2 * i + 1, 2))::UBIGINT FOR i IN range(octet_length(f::BLOB))]), lambda s, x: xor(t[(xor(s, x) & 255) + 1], s >> 8)), 4294967295::UBIGINT) % 10000 AS bucket FROM names, tab),
+dict AS (SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::UBIGINT FOR i IN range(octet_length(encode(f)))]), lambda s, x: xor(t[CAST((xor(s, x) & 255) + 1 AS BIGINT)], s >> 8)), 4294967295::UBIGINT) % 10000 AS bucket FROM names, tab),
 s AS (SELECT bucket, sum(n) AS s FROM fd JOIN dict USING (f) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM fb JOIN dict USING (f) GROUP BY bucket),
 gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS g FROM s LEFT JOIN t USING (bucket)),
 per AS (SELECT doc_id, sum(n * g) AS weight, sum(n) AS n_features FROM fd JOIN dict USING (f) JOIN gain USING (bucket) GROUP BY doc_id),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vaultsieve.sources.package import ship
 
-from . import embedding_dedup, filter_audit, html, minhash, mixing, neighbours, packing, quality, substrings, suffixes, toxicity, url_filter
+from . import embedding_dedup, filter_audit, html, importance, minhash, mixing, neighbours, packing, quality, substrings, suffixes, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("padded")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -77,9 +81,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_minhash, op3_toxicity, op4_html_text, op5_substring_dedup, op6_quality, op7_suffix_dedup, op8_neighbours, op9_packing, op10_embedding_dedup, op12_url_filter, op13_filter_audit, pipeline]
+    found = [op1_mixing, op2_minhash, op3_toxicity, op4_html_text, op5_substring_dedup, op6_quality, op7_suffix_dedup, op8_neighbours, op9_packing, op10_embedding_dedup, op11_importance, op12_url_filter, op13_filter_audit, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op11_importance": importance.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
