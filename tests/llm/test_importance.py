@@ -6,7 +6,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from vaultsieve.llm import importance
@@ -78,17 +77,41 @@ def test_equal_scores_go_to_smaller_ids(spark):
 
 def test_a_word_of_every_text_reaches_the_dictionary_once_a_chunk(spark):
     made = spark.range(4000).selectExpr("id as doc_id", "repeat('the same words ', 20) as text").repartition(4)
-    packed = importance.blobs(importance.chunk_rows(made), 3).toPandas()
-    counts = Counter()
-    for strings, number in zip(packed["strings"], packed["counts"], strict=True):
-        names = importance._unpack(bytes(strings)).to_pylist()
-        assert len(set(names)) == len(names)
-        counts.update(dict(zip(names, np.frombuffer(number, "<i4").tolist(), strict=True)))
-    assert len(packed) <= 3 * 4 * 2 and counts[b"the"] == 80_000 and counts[b"words the same"] == 76_000
+    packed = importance.tries(importance.chunk_rows(made), [b"same words", b"words the"], 0, 3).toPandas()
+    assert len(packed) <= 3 * 4 * 2 and (packed["nodes"] - packed["skip"]).groupby(packed["chunk"]).sum().tolist() == [9] * packed["chunk"].nunique()
+
+
+def test_tries_merge_to_strings():
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["a", "ab", "b", "ba", "é"]) for _ in range(40)) for _ in range(6)]
+    whole, raws, nodes, skips, want = Counter(), [], [], [], []
+    for t in texts:
+        counts = Counter(grams(t)[1])
+        whole += counts
+        names = sorted(counts, key=lambda x: x.split(b" "))
+        names = names[len(names) // 3 :]  # from the middle of a path on
+        words = [x.split(b" ") for x in names]
+        path = words[0][:-1]
+        raws.append(bytes([*range(1, len(path) + 1), *(len(w) for w in words)]) + np.array([0] * len(path) + [counts[x] for x in names], "<i4").tobytes() + b"".join(w + b" " for w in path) + b"".join(w[-1] + b" " for w in words))
+        nodes.append(len(path) + len(names))
+        skips.append(len(path))
+        want.append(names)
+    merged = importance.Merged(raws, nodes)
+    at = np.cumsum([0, *nodes])
+    seen = Counter()
+    for k, names in enumerate(want):
+        of = merged.of[at[k] + skips[k] : at[k + 1]]
+        assert merged.crc[of].tolist() == [zlib.crc32(x) for x in names]
+        seen.update({int(i): Counter(grams(texts[k])[1])[x] for i, x in zip(of, names, strict=True)})
+    assert all(merged.count[i] == n for i, n in seen.items()) and merged.count.sum() == sum(seen.values())
 
 
 def test_checksums():
     r = random.Random(5)
+    heads = [bytes(r.randrange(256) for _ in range(r.choice([0, 3, 50]))) for _ in range(300)]
     strings = [bytes(r.randrange(256) for _ in range(r.choice([0, 1, 5, 40, 127, 128, 129, 3000]))) for _ in range(300)]
-    assert importance.crc32s(pa.array(strings, pa.binary())).tolist() == [zlib.crc32(x) for x in strings]
-    assert importance.crc32s(pa.array([], pa.binary())).tolist() == []
+    size = np.array([len(x) for x in strings])
+    state = np.array([zlib.crc32(x) ^ 0xFFFFFFFF for x in heads], np.uint32)
+    found = ~importance.crc32s(state, np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size)
+    assert found.tolist() == [zlib.crc32(x + y) for x, y in zip(heads, strings, strict=True)]
+    assert importance.crc32s(state[:0], np.zeros(0, np.uint8), size[:0], size[:0]).tolist() == []
