@@ -63,6 +63,10 @@ def crc32s(state: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndar
     return out
 
 
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", 3)
+
+
 def _cut(starts: np.ndarray, ends: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Runs of one text's words of at most about `size` bytes."""
     out, first = [], 0
@@ -74,7 +78,7 @@ def _cut(starts: np.ndarray, ends: np.ndarray, size: int) -> list[tuple[int, int
 
 
 def chunk_rows(docs: DataFrame, size: int = CHUNK, share: float = _LOOKS / (PART * _DENSITY)) -> DataFrame:
-    """chunk, and lists over its pieces of texts: uid, doc_id, n_words (of the whole text, at its first piece; else 0), own (n-grams start at so many of the piece's words), held (words of the piece, with those that only end its last n-grams); the distinct words, sorted, and all words as their ranks; and the chunk's looks, a `share` of its n-grams."""
+    """chunk, and lists over its pieces of texts: uid, doc_id, n_words (of the whole text, at its first piece; else 0), own (n-grams start at so many of the piece's words), held (words of the piece, with those that only end its last n-grams); the distinct words, sorted, and all words as their ranks, compressed; and the chunk's looks, a `share` of its n-grams."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -116,23 +120,24 @@ def chunk_rows(docs: DataFrame, size: int = CHUNK, share: float = _LOOKS / (PART
                     of = [uid[[i for i, *_ in group]], ids.take(pa.array([i for i, *_ in group])), whole, own, held]
                     lists = [pa.array([x], pa.list_(t)) for x, t in zip([of[0].tolist(), of[1].to_pylist(), *of[2:]], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
                     ranks, names = rank[words.indices.to_numpy()], words.dictionary.take(pa.array(order)).to_pylist()
-                    coded = ranks.astype(np.uint16 if len(order) <= 1 << 16 else np.uint32)
+                    coded = ranks.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # all lowest bytes first
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([base + count]), *lists, pa.array([b" ".join(names)], pa.binary()), pa.array([coded.tobytes()], pa.binary()), pa.array([coded.itemsize], pa.int32()), pa.array([looks(names, ranks, share)], pa.list_(pa.binary()))],
-                        names=["chunk", "uid", "doc_id", "n_words", "own", "held", "names", "ranks", "width", "looks"],
+                        [pa.array([base + count]), *lists, *(pa.array([_zstd().compress(x, asbytes=True)], pa.binary()) for x in (text := b" ".join(names), coded)), pa.array([len(text)]), pa.array([looks(names, ranks, share)], pa.list_(pa.binary()))],
+                        names=["chunk", "uid", "doc_id", "n_words", "own", "held", "names", "ranks", "size", "looks"],
                     )
                     count += 1
 
-    return docs.mapInArrow(rows, "chunk long, uid array<long>, doc_id array<long>, n_words array<long>, own array<int>, held array<int>, names binary, ranks binary, width int, looks array<binary>")
+    return docs.mapInArrow(rows, "chunk long, uid array<long>, doc_id array<long>, n_words array<long>, own array<int>, held array<int>, names binary, ranks binary, size long, looks array<binary>")
 
 
 class Chunk:
     """A chunk's words and pieces, and keys for its n-grams: in a key's three places are the ranks of the words, from 1 on, or 0."""
 
     def __init__(self, row: dict):
-        self.names = row["names"].split(b" ") if row["names"] else []
-        self.ranks = np.frombuffer(row["ranks"], np.uint16 if row["width"] == 2 else np.uint32).astype(np.uint64) + np.uint64(1)
         self.own, self.held = np.array(row["own"], np.int64), np.array(row["held"], np.int64)
+        n = int(self.held.sum())
+        self.names = _zstd().decompress(row["names"], row["size"], asbytes=True).split(b" ") if n else []
+        self.ranks = np.frombuffer(_zstd().decompress(row["ranks"], 4 * n, asbytes=True) if n else b"", np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.uint64) + np.uint64(1)
 
     def grams(self, low: int = 0, high: int = 1 << 63) -> tuple[np.ndarray, np.ndarray]:
         """The keys from low to below high of all places of n-grams, and the piece that each is of."""
@@ -184,10 +189,6 @@ def bounds_of(chunks: DataFrame, parts: int) -> list[bytes]:
     return [bytes(seen[i * len(seen) // parts]) for i in range(1, min(parts, len(seen)))]
 
 
-def _zstd() -> pa.Codec:
-    return pa.Codec("zstd", 3)
-
-
 def tries(chunks: DataFrame, bounds: list[bytes], first: int, last: int) -> DataFrame:
     """part, chunk, nodes, skip, size, trie of the parts first to last - 1: a chunk's distinct n-grams of that part, sorted, each as its depth, its count and its last word. `skip` nodes before them hold the prefixes of the first one."""
     held = chunks.sparkSession.sparkContext.broadcast(bounds)
@@ -321,6 +322,12 @@ def spans(parts: int, rounds: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
+def _release(spark) -> None:
+    """Have the shuffle files of all jobs so far deleted. Spark holds on to those of the last job, so an empty one goes before."""
+    spark.range(1).collect()
+    free_shuffles(spark)
+
+
 def parts_for(docs: DataFrame, size: int = PART) -> int:
     """Parts of the dictionary, so that each holds the n-grams of about `size` bytes of text."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -368,7 +375,7 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
         answers.append([])
         for first, last in spans(len(bounds[-1]) + 1, rounds if name == "documents" else 1):
             answers[-1].append(staged(dictionary(tries(chunks[-1], bounds[-1], first, last), buckets), f"dictionary-{name}"))
-            free_shuffles(spark)
+            _release(spark)
         counts.append(bucket_counts(reduce(DataFrame.unionByName, answers[-1])))
     gain = gains(*counts, buckets)
     pieces = []
@@ -376,7 +383,7 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
         part_sums = weighed(chunks[0], answer, gain, bounds[0], first, last, buckets > 1 << 16)
         pieces.append(staged(part_sums.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")]), "weights"))
         unstage(answer)
-        free_shuffles(spark)
+        _release(spark)
     unstage(*chunks, *answers[1])
     pieces = reduce(DataFrame.unionByName, pieces).groupBy("uid").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")])
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
