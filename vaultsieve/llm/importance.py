@@ -121,8 +121,9 @@ def chunk_rows(docs: DataFrame, size: int = CHUNK, share: float = _LOOKS / (PART
                     lists = [pa.array([x], pa.list_(t)) for x, t in zip([of[0].tolist(), of[1].to_pylist(), *of[2:]], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
                     ranks, names = rank[words.indices.to_numpy()], words.dictionary.take(pa.array(order)).to_pylist()
                     coded = ranks.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # all lowest bytes first
+                    text = b" ".join(names)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([base + count]), *lists, *(pa.array([_zstd().compress(x, asbytes=True)], pa.binary()) for x in (text := b" ".join(names), coded)), pa.array([len(text)]), pa.array([looks(names, ranks, share)], pa.list_(pa.binary()))],
+                        [pa.array([base + count]), *lists, *(pa.array([_zstd().compress(x, asbytes=True)], pa.binary()) for x in (text, coded)), pa.array([len(text)]), pa.array([looks(names, ranks, share)], pa.list_(pa.binary()))],
                         names=["chunk", "uid", "doc_id", "n_words", "own", "held", "names", "ranks", "size", "looks"],
                     )
                     count += 1
