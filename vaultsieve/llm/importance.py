@@ -29,7 +29,7 @@ from .common import free_shuffles, staged, unstage
 #: Buckets, longest n-gram, draws per hundred documents of at least LEAST words, and what is hashed before an id.
 BUCKETS, LONGEST, DRAW, LEAST, SEED = 10_000, 3, 5, 20, "42"
 #: Bytes of text in a chunk, about; a longer text is cut between words. Bytes of text for each part of the dictionary, about. Rounds of parts.
-CHUNK, PART, ROUNDS = 1 << 22, 1 << 23, 2
+CHUNK, PART, ROUNDS = 1 << 22, 1 << 22, 2
 #: Distinct n-grams that are looked at for each bound between two parts, about, and n-grams that come with a byte of text.
 _LOOKS, _DENSITY = 32, 0.25
 
