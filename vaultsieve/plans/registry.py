@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
-from vaultsieve.plans import q_detect, q_features, q_score  # noqa: E402, F401
+from vaultsieve.plans import q_detect, q_features, q_score, q_train  # noqa: E402, F401
