@@ -3,7 +3,7 @@
 register(spark) makes these known to a session:
 
 * token_entropy(t), entropy_confidence(e), looks_secret(t), redact_token(t), is_skipped_line(line), decision_path(p): scalars.
-* findings(line): the findings of a line as an array, for lateral joins: FROM lines, LATERAL inline(findings(line)).
+* findings(line): the findings of a line as an array; rows by SELECT file, f.* FROM (SELECT *, findings(line) AS found FROM lines), LATERAL inline(found) AS f.
 * signatures (severity, type, confidence, pattern), ignored_names (pattern): temporary views.
 """
 
