@@ -65,10 +65,36 @@ def test_thresholds_collapse_ties_and_fall_back(spark):
 def test_acceptance(spark):
     rows = [("aggregate_metrics", "p", 0.9, 0.88, None), ("per_type_metrics", "a", 0.1, 0.5, None), ("per_type_metrics", "b", 0.9, 0.5, None), ("stress_tests", "c", 0.9, 0.5, None), ("calibration", "d", 0.05, None, 0.1), ("stage_routing", "e", 0.3, 0.2, 0.45)]
     table = spark.createDataFrame(rows, "category string, name string, value double, low double, high double")
-    assert tuple(evaluation.acceptance(table).first()) == (0.75, False, "NO-GO")
-    assert evaluation.acceptance(table, {"per_type_metrics": 1}).first().decision == "GO"
+    # A category counts by the share of its criteria that pass: half of the types here.
+    assert tuple(evaluation.acceptance(table).first()) == (0.875, False, "GO")
+    assert tuple(evaluation.acceptance(table, least=0.9).first())[2] == "NO-GO"
+    by = {r.category: r for r in evaluation.categories(table).collect()}
+    assert not by["per_type_metrics"].enough and by["per_type_metrics"].passed == 1 and by["stress_tests"].enough
+    assert {r.category: r.enough for r in evaluation.categories(table, {"per_type_metrics": 1}).collect()}["per_type_metrics"]
     worse = table.withColumn("value", F.when(F.col("name") == "p", 0.5).otherwise(F.col("value")))
     assert evaluation.acceptance(worse, {"per_type_metrics": 1}, least=0.5).first().decision == "NO-GO"
+    both = spark.createDataFrame([("per_type_metrics", "a", 0.9, 0.8, None), ("per_type_metrics", "a", 0.7, 0.8, None), ("per_type_metrics", "b", None, 0.8, None)], "category string, name string, value double, low double, high double")
+    assert tuple(evaluation.categories(both).first())[1:3] == (0, 2)
+
+
+def test_splits_that_a_stratum_leaves_empty_stop_it(spark):
+    ratios = {"train": 0.65, "val": 0.1, "cal": 0.1, "test": 0.15}
+    rows = spark.createDataFrame([(i, i % 2, None if i < 5 else "llm") for i in range(400)], "id long, label int, source string")
+    with pytest.raises(ValueError, match=r"Stratum '0_unknown' \(3 records\) produced an empty 'cal' split"):
+        dataset.checked_split(rows, ratios, ["label", "source"], "id")
+    assert dataset.checked_split(rows.where("source is not null"), ratios, ["label", "source"], "id").groupBy("label", "source", "split").count().count() == 8
+    with pytest.raises(ValueError, match="Ratios sum"):
+        dataset.checked_split(rows, {"train": 0.8, "val": 0.2, "test": 0.0}, ["label"], "id")
+
+
+def test_messages_on_types(spark):
+    lines = ['{"token": 5, "line_content": "l", "context_before": "b", "context_after": [], "label": 1}', '{"token": "t", "line_content": null, "context_before": [], "context_after": {}, "label": 1.0}', '{"token": "t", "line_content": "l", "context_before": [1], "context_after": [], "label": true}', "{}", "[]", "{", "", None, '{"token": "t", "line_content": "l", "context_before": [], "context_after": [], "label": 2}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    found = {r.i: r.e for r in rows.select("i", dataset.text_errors(F.col("t"), F.col("i")).alias("e")).collect()}
+    assert found[0] == ["Line 0: 'token' must be a string", "Line 0: 'context_before' must be a list"]
+    assert found[1] == ["Line 1: 'line_content' must be a string", "Line 1: 'context_after' must be a list", "Line 1: 'label' must be 0 or 1"]
+    assert found[2] == [] and len(found[3]) == 5 and all("Missing required field" in x for x in found[3])
+    assert all(found[i] == [f"Line {i}: not a JSON object"] for i in (4, 5, 6, 7)) and found[8] == ["Line 8: 'label' must be 0 or 1"]
 
 
 def test_two_stages_cross_validation_and_averages(spark, records):

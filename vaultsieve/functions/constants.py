@@ -130,4 +130,14 @@ ENV_FALLBACKS = (
 
 # Acceptance criteria of a model: category, name, metric bounds.
 AGGREGATE = {"precision": 0.88, "recall": 0.92, "f1_score": 0.90, "auprc": 0.93}
+PER_TYPE = {  # recall, precision
+    "aws_access_key": (0.98, 0.90), "aws_secret_key": (0.95, 0.88), "github_token": (0.98, 0.90), "stripe_live_key": (0.99, 0.92), "openai_key": (0.95, 0.88), "jwt": (0.90, 0.85), "pem_private_key": (0.95, 0.90), "database_url": (0.90, 0.85), "generic_entropy": (0.85, 0.80),
+}
+STRESS = {  # metric, at least, at most
+    "prefix_collision": ("precision", 0.85, None), "git_sha_masquerading": ("recall", 0.90, None), "context_inversion": ("accuracy", 0.80, None), "stage_routing_balance": ("stage_a_reject_rate", 0.25, 0.40),
+    "vendor_neutralization": ("variance", None, 0.10), "token_length_attack": ("variance", None, 0.10), "confidence_calibration": ("ece", None, 0.10), "adversarial_perturbation": ("recall", 0.90, None),
+}
+CALIBRATION = {"ece": (None, 0.10), "brier_score": (None, 0.15), "high_confidence_accuracy": (0.95, None), "max_feature_importance": (None, 0.15)}
+ROUTING = {"stage_a_reject_rate": (0.20, 0.45), "stage_a_accept_rate": (0.05, 0.20), "stage_b_rate": (0.40, 0.70), "stage_a_reject_fn_rate": (None, 0.01), "stage_a_accept_fp_rate": (None, 0.10)}
+NEEDED = {"per_type_metrics": 8, "stress_tests": 7}
 CATEGORY_WEIGHTS = {"aggregate_metrics": 0.30, "per_type_metrics": 0.25, "stress_tests": 0.25, "calibration": 0.10, "stage_routing": 0.10}

@@ -30,6 +30,22 @@ def errors(number: Column) -> Column:
     return F.filter(F.array(*[F.when(bad, F.concat(line, F.lit(what))) for bad, what in tests]), lambda x: x.isNotNull())
 
 
+def text_errors(text: Column, number: Column) -> Column:
+    """What is wrong with a record that is a line of JSON, types included: an array of messages, empty if valid. A line that can't be parsed, or is no object, has one message of its own."""
+    record = F.try_parse_json(text)
+    line = F.concat(F.lit("Line "), number.cast("string"), F.lit(": "))
+    kind = {f: F.schema_of_variant(F.variant_get(record, f"$.{f}", "variant")) for f in ("token", "line_content", "context_before", "context_after", "label")}
+    whole = F.schema_of_variant(record)
+    tests = [(kind[f].isNull(), f"Missing required field '{f}'") for f in kind]
+    tests += [(kind[f] != "STRING", f"'{f}' must be a string") for f in ("token", "line_content")]
+    tests += [(~kind[f].startswith("ARRAY"), f"'{f}' must be a list") for f in ("context_before", "context_after")]
+    label = kind["label"]
+    one = F.when(label == "BOOLEAN", True).when(label == "BIGINT", F.try_variant_get(record, "$.label", "bigint").isin(0, 1)).otherwise(False)
+    tests.append((label.isNotNull() & ~one, "'label' must be 0 or 1"))
+    found = F.filter(F.array(*[F.when(bad, F.concat(line, F.lit(what))) for bad, what in tests]), lambda x: x.isNotNull())
+    return F.when(whole.isNull() | ~whole.startswith("OBJECT"), F.array(F.concat(line, F.lit("not a JSON object")))).otherwise(found)
+
+
 def record_key() -> Column:
     return F.sha1(F.concat_ws("|", "token", "line_content"))
 
@@ -68,6 +84,29 @@ def split(rows: DataFrame, ratios: dict[str, float], strata: Sequence[str], key:
     return ranked(rows, strata, key, seed).withColumn("split", name).drop("_place", "_n")
 
 
+def empty_splits(rows: DataFrame, ratios: dict[str, float], strata: Sequence[str]) -> DataFrame:
+    """One row for each split that a stratum leaves empty: the strata's columns, n, split, message. A caller who wants an error joins on it or raises; `checked_split` does."""
+    counts, ends, bound = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")), [], 0.0
+    for name, ratio in list(ratios.items())[:-1]:
+        bound += ratio
+        ends.append((name, F.floor(F.col("n") * F.lit(bound))))
+    ends.append((list(ratios)[-1], F.col("n")))
+    sizes = [F.struct(F.lit(name).alias("split"), (end - before).alias("size")) for (name, end), before in zip(ends, [F.lit(0), *(e for _, e in ends[:-1])], strict=True)]
+    label = F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in strata])
+    shares = "/".join(f"{x:g}" for x in ratios.values())
+    message = F.concat(F.lit("Stratum '"), label, F.lit("' ("), F.col("n").cast("string"), F.lit(" records) produced an empty '"), F.col("split"), F.lit(f"' split with ratios {shares}. Provide more data for this stratum."))
+    return counts.select(*strata, "n", F.inline(F.array(*sizes))).where("size <= 0").select(*strata, "n", "split", message.alias("message"))
+
+
+def checked_split(rows: DataFrame, ratios: dict[str, float], strata: Sequence[str], key: str, seed: int = 42) -> DataFrame:
+    """split(), but a ratio of nothing for the last split, or a split that a stratum leaves empty, stops it."""
+    if sum(list(ratios.values())[:-1]) >= 1:
+        raise ValueError(f"Ratios sum to >= 1.0: {ratios}")
+    if first := empty_splits(rows, ratios, strata).select(F.min("message")).first()[0]:
+        raise ValueError(first)
+    return split(rows, ratios, strata, key, seed)
+
+
 def folds(rows: DataFrame, k: int, strata: Sequence[str], key: str, seed: int = 42) -> DataFrame:
     """fold 0 .. k - 1 within each stratum; the first folds take the remainder."""
     made = ranked(rows, strata, key, seed)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultsieve.functions.constants import AGGREGATE, CATEGORY_WEIGHTS
+from vaultsieve.functions.constants import AGGREGATE, CALIBRATION, CATEGORY_WEIGHTS, PER_TYPE, ROUTING, STRESS
 
 #: Ranges of scores, of about as many distinct ones, and the error of their bounds' ranks.
 RANGES, ERROR = 256, 0.001
@@ -80,6 +80,12 @@ def auc(rows: DataFrame) -> DataFrame:
     return by.agg((F.sum(F.col("p") * (F.col("negatives") - F.col("fp") + F.col("n") / 2)) / F.nullif(F.max("positives") * F.max("negatives"), F.lit(0))).alias("auc"))
 
 
+def correlations(rows: DataFrame, columns: list[str], label: str, warn: float = 0.3) -> DataFrame:
+    """feature, r (the size of its correlation with the label), warning (r above `warn`): sums and products of all columns in one pass. A feature that doesn't vary has no row."""
+    one = rows.agg(*[F.abs(F.covar_pop(c, label) / F.nullif(F.stddev_pop(c) * F.stddev_pop(label), F.lit(0.0))).alias(c) for c in columns])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in columns]))).where("r is not null and not isnan(r)").withColumn("warning", F.col("r") > warn)
+
+
 def brier(score: Column) -> Column:
     return F.avg((score - F.col("label")) * (score - F.col("label")))
 
@@ -110,22 +116,72 @@ def mean_differences(rows: DataFrame, features: list[str], group: Column, k: int
     return one.select(F.inline(cells)).withColumn("difference", F.col("mean_a") - F.col("mean_b")).orderBy(F.desc(F.abs("difference")), "feature").limit(k)
 
 
-def acceptance(criteria: DataFrame, needed: dict[str, int] | None = None, least: float = 0.85) -> DataFrame:
-    """criteria (category, name, value, low, high) to one row: weighted_score and decision.
-
-    A category passes if all of its criteria do, or as many as `needed` says. GO takes a weighted share of passing
-    categories of `least` and all aggregate criteria.
-    """
-    passed = F.coalesce((F.col("low").isNull() | (F.col("value") >= F.col("low"))) & (F.col("high").isNull() | (F.col("value") <= F.col("high"))), F.lit(False))
-    by = criteria.groupBy("category").agg(F.count_if(passed).alias("passed"), F.count(F.lit(1)).alias("total"))
+def categories(criteria: DataFrame, needed: dict[str, int] | None = None) -> DataFrame:
+    """criteria (category, name, value, low, high) to one row per category: passed, total, enough (whether all of its criteria pass, or as many as `needed` says) and weight. A criterion of several rows passes if all of them do; a missing value fails."""
+    passed = F.coalesce((F.col("low").isNull() | (F.col("value") >= F.col("low"))) & (F.col("high").isNull() | (F.col("value") <= F.col("high"))), F.lit(False)) & F.col("value").isNotNull()
+    each = criteria.groupBy("category", "name").agg(F.bool_and(passed).alias("passed"))
+    by = each.groupBy("category").agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total"))
     enough = F.col("passed") == F.col("total")
     for category, count in (needed or {}).items():
         enough = F.when(F.col("category") == category, F.col("passed") >= count).otherwise(enough)
     weight = F.element_at(F.create_map(*[F.lit(x) for pair in CATEGORY_WEIGHTS.items() for x in pair]), F.col("category"))
-    score = F.round(F.sum(F.when(enough, weight).otherwise(0.0)), 6)
-    critical = F.coalesce(F.bool_or((F.col("category") == "aggregate_metrics") & ~enough), F.lit(False))
+    return by.withColumns({"enough": enough, "weight": weight})
+
+
+def acceptance(criteria: DataFrame, needed: dict[str, int] | None = None, least: float = 0.85) -> DataFrame:
+    """criteria (category, name, value, low, high) to one row: weighted_score, critical_failure and decision.
+
+    A category adds its weight times the share of its criteria that pass. GO takes a sum of `least`, and that no
+    criterion of the aggregate metrics fails.
+    """
+    by = categories(criteria, needed)
+    score = F.round(F.sum(F.col("weight") * F.col("passed") / F.col("total")), 6)
+    critical = F.coalesce(F.bool_or((F.col("category") == "aggregate_metrics") & (F.col("passed") < F.col("total"))), F.lit(False))
     return by.agg(score.alias("weighted_score"), critical.alias("critical_failure")).withColumn("decision", F.when((F.col("weighted_score") >= least) & ~F.col("critical_failure"), "GO").otherwise("NO-GO"))
 
 
+def release_criteria(rows: DataFrame, importance: float, at: float = 0.5, low: float = 0.15, high: float = 0.85) -> DataFrame:
+    """All criteria of the five categories, as acceptance() takes them, of rows with label, score, type (of the secret), stress (the stress test that a row is of, or null) and variant (of what the stress test varies).
+
+    One pass over the rows for all counts (by ten bins of the score for the calibration), and the curve for the area under
+    it. Variances are of the recalls of a stress test's variants.
+    """
+    label, yes, score = F.col("label") == 1, F.col("score") >= at, F.col("score")
+    n = lambda test: F.count_if(test).cast("double")
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
+    recall, precision = (lambda of: ratio(n(of & label & yes), n(of & label))), (lambda of: ratio(n(of & label & yes), n(of & yes)))
+    every, whole = F.lit(True), F.count(F.lit(1)).cast("double")
+    bins = lambda of: sum((F.abs(F.coalesce(F.sum(F.when(of & (F.least(F.floor(score * 10), F.lit(9)) == i), score - F.col("label"))), F.lit(0.0))) for i in range(10)), F.lit(0.0))
+    sure, stress = (score < low) | (score > high), lambda name: F.col("stress") == name
+    one = {
+        ("aggregate_metrics", "precision"): precision(every), ("aggregate_metrics", "recall"): recall(every), ("aggregate_metrics", "f1_score"): ratio(2 * n(label & yes), n(label) + n(yes)),
+        ("calibration", "ece"): ratio(bins(every), whole), ("calibration", "brier_score"): brier(score), ("calibration", "high_confidence_accuracy"): ratio(n(sure & (yes == label)), n(sure)), ("calibration", "max_feature_importance"): F.lit(float(importance)),
+        ("stage_routing", "stage_a_reject_rate"): ratio(n(score < low), whole), ("stage_routing", "stage_a_accept_rate"): ratio(n(score > high), whole), ("stage_routing", "stage_b_rate"): ratio(n(~sure), whole),
+        ("stage_routing", "stage_a_reject_fn_rate"): ratio(n((score < low) & label), n(score < low)), ("stage_routing", "stage_a_accept_fp_rate"): ratio(n((score > high) & ~label), n(score > high)),
+    }
+    for kind in PER_TYPE:
+        one[kind, "recall"], one[kind, "precision"] = recall(F.col("type") == kind), precision((F.col("type") == kind))
+    of = {"precision": precision, "recall": recall, "accuracy": lambda t: ratio(n(t & (yes == label)), n(t)), "stage_a_reject_rate": lambda t: ratio(n(t & (score < low)), n(t)), "ece": lambda t: ratio(bins(t), n(t))}
+    for name, (metric, _, _) in STRESS.items():
+        if metric in of:
+            one["stress_tests", name] = of[metric](stress(name))
+    names = {pair: f"m{i}" for i, pair in enumerate(one)}
+    row = rows.agg(*[v.alias(names[k]) for k, v in one.items()])
+    # A row for each variant, then one for each test.
+    by = rows.where("stress is not null").groupBy("stress", "variant").agg(recall(every).alias("recall")).groupBy("stress").agg(F.var_pop("recall").alias("value"))
+    area = cumulative(rows.where("score is not null")).agg(F.sum(F.col("p") / F.nullif(F.col("positives"), F.lit(0)) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("value"))
+    cell = lambda category, name, value, bounds: F.struct(F.lit(category).alias("category"), F.lit(name).alias("name"), value.cast("double").alias("value"), F.lit(bounds[0]).cast("double").alias("low"), F.lit(bounds[1]).cast("double").alias("high"))
+    fixed = {("aggregate_metrics", k): (AGGREGATE[k], None) for k in ("precision", "recall", "f1_score")} | {("calibration", k): v for k, v in CALIBRATION.items()} | {("stage_routing", k): v for k, v in ROUTING.items()}
+    cells = [cell(*k, F.col(names[k]), v) for k, v in fixed.items()]
+    cells += [cell("per_type_metrics", kind, F.col(names[kind, m]), (need, None)) for kind, needs in PER_TYPE.items() for m, need in zip(("recall", "precision"), needs, strict=True)]
+    cells += [cell("stress_tests", k, F.col(names["stress_tests", k]), v[1:]) for k, v in STRESS.items() if ("stress_tests", k) in names]
+    made = row.select(F.inline(F.array(*cells)))
+    made = made.unionByName(area.select(F.inline(F.array(cell("aggregate_metrics", "auprc", F.col("value"), (AGGREGATE["auprc"], None))))))
+    for name, (metric, *bounds) in STRESS.items():
+        if metric == "variance":
+            made = made.unionByName(by.where(F.col("stress") == name).agg(F.max("value").alias("value")).select(F.inline(F.array(cell("stress_tests", name, F.coalesce("value", F.lit(0.0)), bounds)))))
+    return made
+
+
 def aggregate_criteria() -> dict[str, float]:
     return dict(AGGREGATE)

@@ -60,9 +60,14 @@ def candidates(spark, sf) -> DataFrame:
     return detect.scan_lines(_contexts(spark, sf))
 
 
+#: The SQL of each feature of a family.
+FEATURE_SQL: dict[str, str] = {}
+
+
 def family(name: str, columns: dict[str, str], *functions) -> None:
     """A query of some feature columns and its twin; booleans stay booleans, counts are long, reals are rounded."""
     kinds = {k: v.split(":", 1)[0] for k, v in columns.items()}
+    FEATURE_SQL.update({k: v.split(":", 1)[1] for k, v in columns.items()})
     cast = {"b": "CAST({} AS BOOLEAN)", "i": "CAST({} AS BIGINT)", "d": "round(CAST({} AS DOUBLE), 6)"}
     sql = ", ".join(cast[v.split(":", 1)[0]].format(v.split(":", 1)[1]) + f" AS {k}" for k, v in columns.items())
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultsieve.functions import constants as C
-from vaultsieve.operators import dataset, detect, evaluation, features, generate, models, report, scoring, service
+from vaultsieve.operators import dataset, detect, evaluation, features, report, scoring, service
 from vaultsieve.plans import corpus, oracle
-from vaultsieve.plans.q_features import CAND, candidates
+from vaultsieve.plans.q_features import CAND, FEATURE_SQL, candidates
 from vaultsieve.plans.registry import query
 from vaultsieve.sources import records
 from vaultsieve.sources.package import ship
@@ -243,6 +243,35 @@ def t_validate(spark, sf):
     return rows.select(F.col("c_custkey").alias("line"), F.size(dataset.errors(F.col("c_custkey"))).cast("long").alias("n_errors"))
 
 
+_JSON = (
+    "SELECT c_custkey AS k, CASE c_custkey % 11 WHEN 0 THEN chr(123) || 'broken' WHEN 1 THEN '[1, 2]' ELSE chr(123) || CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '{q}token{q}: 5, ' WHEN 2 THEN '{q}token{q}: null, ' ELSE '{q}token{q}: {q}t{q}, ' END || CASE c_custkey % 3 WHEN 0 THEN '{q}line_content{q}: [1], ' ELSE '{q}line_content{q}: {q}l{q}, ' END || "
+    "CASE c_custkey % 7 WHEN 0 THEN '{q}context_before{q}: {q}b{q}, ' WHEN 1 THEN '' ELSE '{q}context_before{q}: [{q}b{q}], ' END || '{q}context_after{q}: [], {q}label{q}: ' || CASE c_custkey % 6 WHEN 0 THEN '2' WHEN 1 THEN '1.0' WHEN 2 THEN '{q}1{q}' WHEN 3 THEN 'true' WHEN 4 THEN '0' ELSE '1' END || chr(125) END AS text FROM "
+).replace("{q}", '"')
+
+
+@query(
+    "t_validate_json",
+    f"WITH j AS ({_JSON} customer), o AS (SELECT *, 'Line ' || k || ': ' AS l, CASE WHEN json_valid(text) THEN text END AS v FROM j), m AS (SELECT k, l, v, CASE WHEN json_type(v) = 'OBJECT' THEN list_filter(["
+    + ", ".join(f"CASE WHEN json_type(v, '$.{f}') IS NULL THEN 'Missing required field ''{f}''' END" for f in ("token", "line_content", "context_before", "context_after", "label"))
+    + ", " + ", ".join(f"CASE WHEN json_type(v, '$.{f}') <> '{t}' THEN '''{f}'' must be a {n}' END" for f, t, n in (("token", "VARCHAR", "string"), ("line_content", "VARCHAR", "string"), ("context_before", "ARRAY", "list"), ("context_after", "ARRAY", "list")))
+    + ", CASE WHEN NOT (json_type(v, '$.label') = 'BOOLEAN' OR json_type(v, '$.label') IN ('BIGINT', 'UBIGINT') AND json_extract_string(v, '$.label') IN ('0', '1')) THEN '''label'' must be 0 or 1' END], lambda x: x IS NOT NULL) ELSE ['not a JSON object'] END AS e FROM o) SELECT CAST(k AS BIGINT) AS line, array_to_string([l || x for x in e], chr(10)) AS errors FROM m",
+)
+def t_validate_json(spark, sf):
+    """What is wrong with records as lines of JSON, wrong types included."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k"), F.expr(_JSON.removeprefix("SELECT c_custkey AS k, ").removesuffix(" AS text FROM ")).alias("text"))
+    return rows.select(F.col("k").cast("long").alias("line"), F.array_join(dataset.text_errors(F.col("text"), F.col("k")), "\n").alias("errors"))
+
+
+@query(
+    "t_empty_splits",
+    f"{W}, c AS (SELECT label, part, count(*) AS n FROM (SELECT *, id % 400 AS part FROM s WHERE id % 37 = 0 OR id % 400 < 3) GROUP BY ALL) SELECT CAST(label AS BIGINT) AS label, CAST(part AS BIGINT) AS part, split FROM (SELECT label, part, unnest(['train', 'val', 'cal', 'test']) AS split, unnest([floor(n * 0.65::DOUBLE), floor(n * (0.65::DOUBLE + 0.1::DOUBLE)) - floor(n * 0.65::DOUBLE), floor(n * (0.65::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE)) - floor(n * (0.65::DOUBLE + 0.1::DOUBLE)), n - floor(n * (0.65::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE))]) AS size FROM c) WHERE size <= 0",
+)
+def t_empty_splits(spark, sf):
+    """Strata too small for a part in each split."""
+    rows = scores(spark, sf).withColumn("part", F.col("id") % 400).where((F.col("id") % 37 == 0) | (F.col("part") < 3))
+    return dataset.empty_splits(rows, {"train": 0.65, "val": 0.1, "cal": 0.1, "test": 0.15}, ["label", "part"]).select("label", "part", "split")
+
+
 @query("t_dedup", f"{_REC} SELECT id, token FROM r QUALIFY row_number() OVER (PARTITION BY sha1(token || '|' || line_content) ORDER BY id) = 1")
 def t_dedup(spark, sf):
     return dataset.first_of_each(_records(spark, sf), "id").select("id", "token")
@@ -372,6 +401,22 @@ def t_corr(spark, sf):
     return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("r")) for f in ("token_length", "token_entropy")])))
 
 
+_TOKEN_SQL = {f: FEATURE_SQL[f] for f in features.TOKEN_ONLY if f in FEATURE_SQL}
+
+
+@query(
+    "t_corr_all",
+    f"{CAND}, v AS (SELECT (type NOT IN ('ENTROPY_CANDIDATE', 'ML_CANDIDATE'))::INT::DOUBLE AS y, " + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in _TOKEN_SQL.items()) + " FROM cand), "
+    f"r AS (SELECT unnest({list(_TOKEN_SQL)!r}) AS feature, unnest([" + ", ".join(f"CASE WHEN stddev_pop({k}) > 0 THEN abs(corr({k}, y)) END" for k in _TOKEN_SQL) + "]) AS r FROM v) SELECT feature, round(r, 6) AS r, r > 0.3 AS warning FROM r WHERE r IS NOT NULL",
+)
+def t_corr_all(spark, sf):
+    """How strongly each token feature goes with the label, in one pass; a warning where it alone tells too much. Features that don't vary have none."""
+    y = (~F.col("type").isin("ENTROPY_CANDIDATE", "ML_CANDIDATE")).cast("double").alias("y")
+    found = candidates(spark, sf).select("file", "line_no", "line", "before", "after", "total_lines", "type", "token")
+    rows = features.with_features(found).select(y, *features.TOKEN_ONLY)
+    return evaluation.correlations(rows, features.TOKEN_ONLY, "y").select("feature", F.round("r", 6).alias("r"), "warning")
+
+
 @query("t_passthrough", f"{CAND} SELECT round(avg((starts_with(token, 'AKIA') OR starts_with(token, 'ghp_') OR starts_with(token, 'sk_live_') OR starts_with(token, 'npm_') OR starts_with(token, 'pypi-') OR starts_with(token, 'xoxb-') OR starts_with(token, 'sk-') OR starts_with(token, 'AIza') OR (ent > 3.5 AND least(1.0::DOUBLE, ent / CASE WHEN special THEN 6.5::DOUBLE WHEN hex AND n >= 8 THEN 4.0::DOUBLE ELSE 6.0::DOUBLE END) > 0.7))::INT), 6) AS rate FROM cand WHERE n >= 8")
 def t_passthrough(spark, sf):
     rows = features.base(candidates(spark, sf)).where("n >= 8")
@@ -451,7 +496,7 @@ def t_grid(spark, sf):
     return made.select("config", "threshold", F.col("tp").cast("long"), F.col("fp").cast("long"), *_r("precision", "recall", "f1"), "on_target")
 
 
-@query("t_gonogo", f"{W}, m AS (SELECT {_CM} FROM (SELECT *, score >= 0.5 AS y FROM s)), p AS (SELECT tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM m) SELECT round(0.3::DOUBLE * (precision >= 0.88 AND recall >= 0.92 AND f1 >= 0.90)::INT + 0.1::DOUBLE * (precision <= 1)::INT, 6) AS weighted_score, NOT (precision >= 0.88 AND recall >= 0.92 AND f1 >= 0.90) AS critical_failure, 'NO-GO' AS decision FROM p")
+@query("t_gonogo", f"{W}, m AS (SELECT {_CM} FROM (SELECT *, score >= 0.5 AS y FROM s)), p AS (SELECT tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM m) SELECT round(0.3::DOUBLE * ((precision >= 0.88)::INT + (recall >= 0.92)::INT + (f1 >= 0.90)::INT) / 3 + 0.1::DOUBLE * (precision <= 1)::INT, 6) AS weighted_score, NOT (precision >= 0.88 AND recall >= 0.92 AND f1 >= 0.90) AS critical_failure, 'NO-GO' AS decision FROM p")
 def t_gonogo(spark, sf):
     """Criteria of two categories; the others weigh nothing here, so that the decision is no."""
     one = evaluation.metrics(scores(spark, sf))
@@ -461,22 +506,59 @@ def t_gonogo(spark, sf):
     return evaluation.acceptance(one.select(F.inline(cells)))
 
 
-@query("t_generate")
-def t_generate(spark, sf):
-    """Made-up records: label, kinds, lines; tests hold their shares and forms."""
-    return generate.records(spark, 5000)
+_KINDS, _TESTS = list(C.PER_TYPE), list(C.STRESS)
+_NEED = "VALUES " + ", ".join(f"('{k}', {r}::DOUBLE, {p}::DOUBLE)" for k, (r, p) in C.PER_TYPE.items())
+_BOUNDS = lambda of: "CASE name " + " ".join(f"WHEN '{k}' THEN " + (" AND ".join(x for x in (f"value >= {lo}" if lo is not None else "", f"value <= {hi}" if hi is not None else "") if x)) for k, (lo, hi) in of.items()) + " END"
+_ECE = "(SELECT sum(abs(d)) / sum(n) FROM (SELECT sum(score - label) AS d, count(*) AS n FROM {} GROUP BY least(floor(score * 10), 9)))"
+_GO = f"""{W}, g AS (SELECT label, score, score >= 0.5 AS y, {_KINDS!r}[CAST(id % 9 AS INT) + 1] AS type, {_TESTS!r}[CAST(id % 8 AS INT) + 1] AS stress, id // 8 % 4 AS variant FROM s),
+agg AS (SELECT count(*) FILTER (label = 1 AND y) / count(*) FILTER (y)::DOUBLE AS p, count(*) FILTER (label = 1 AND y) / count(*) FILTER (label = 1)::DOUBLE AS r, avg((score - label) * (score - label)) AS brier,
+  count(*) FILTER ((score < 0.15 OR score > 0.85) AND y = (label = 1)) / count(*) FILTER (score < 0.15 OR score > 0.85)::DOUBLE AS sure, count(*) FILTER (score < 0.15) / count(*)::DOUBLE AS reject, count(*) FILTER (score > 0.85) / count(*)::DOUBLE AS accept,
+  coalesce(count(*) FILTER (score < 0.15 AND label = 1) / nullif(count(*) FILTER (score < 0.15), 0)::DOUBLE, 0) AS fnr, coalesce(count(*) FILTER (score > 0.85 AND label = 0) / nullif(count(*) FILTER (score > 0.85), 0)::DOUBLE, 0) AS fpr FROM g),
+sc AS (SELECT score, sum(label) AS p, count(*) AS n FROM g GROUP BY score), cu AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS all_n, sum(p) OVER () AS pos FROM sc WINDOW w AS (ORDER BY score DESC)),
+st AS (SELECT stress, count(*) FILTER (label = 1 AND y) / count(*) FILTER (y)::DOUBLE AS p, count(*) FILTER (label = 1 AND y) / count(*) FILTER (label = 1)::DOUBLE AS r, count(*) FILTER (y = (label = 1)) / count(*)::DOUBLE AS a, count(*) FILTER (score < 0.15) / count(*)::DOUBLE AS reject FROM g GROUP BY stress),
+va AS (SELECT stress, var_pop(r) AS v FROM (SELECT stress, variant, count(*) FILTER (label = 1 AND y) / count(*) FILTER (label = 1)::DOUBLE AS r FROM g GROUP BY stress, variant) GROUP BY stress),
+crit AS (
+  SELECT 'aggregate_metrics' AS category, name, value, {_BOUNDS({k: (v, None) for k, v in C.AGGREGATE.items()})} AS ok FROM (SELECT unnest(['precision', 'recall', 'f1_score', 'auprc']) AS name, unnest([p, r, 2 * p * r / (p + r), (SELECT sum(p / pos * tp / all_n) FROM cu)]) AS value FROM agg)
+  UNION ALL SELECT 'calibration', name, value, {_BOUNDS(C.CALIBRATION)} FROM (SELECT unnest(['ece', 'brier_score', 'high_confidence_accuracy', 'max_feature_importance']) AS name, unnest([{_ECE.format("g")}, brier, sure, 0.12]) AS value FROM agg)
+  UNION ALL SELECT 'stage_routing', name, value, {_BOUNDS(C.ROUTING)} FROM (SELECT unnest(['stage_a_reject_rate', 'stage_a_accept_rate', 'stage_b_rate', 'stage_a_reject_fn_rate', 'stage_a_accept_fp_rate']) AS name, unnest([reject, accept, 1 - reject - accept, fnr, fpr]) AS value FROM agg)
+  UNION ALL SELECT 'per_type_metrics', type, rec, rec >= need_r AND prec >= need_p FROM (SELECT type, count(*) FILTER (label = 1 AND y) / count(*) FILTER (label = 1)::DOUBLE AS rec, count(*) FILTER (label = 1 AND y) / count(*) FILTER (y)::DOUBLE AS prec FROM g GROUP BY type) JOIN ({_NEED}) need(type, need_r, need_p) USING (type)
+  UNION ALL SELECT 'stress_tests', name, value, {_BOUNDS({k: v[1:] for k, v in C.STRESS.items()})} FROM (SELECT stress AS name, CASE stress WHEN 'prefix_collision' THEN p WHEN 'git_sha_masquerading' THEN r WHEN 'context_inversion' THEN a WHEN 'stage_routing_balance' THEN reject WHEN 'confidence_calibration' THEN {_ECE.format("(SELECT * FROM g WHERE stress = 'confidence_calibration')")} WHEN 'adversarial_perturbation' THEN r ELSE v END AS value FROM st JOIN va USING (stress)))
+"""
+_RULES = "CASE category " + " ".join(f"WHEN '{k}' THEN passed >= {n}" for k, n in C.NEEDED.items()) + " ELSE passed = total END"
+_SHARES = "CASE category " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in C.CATEGORY_WEIGHTS.items()) + " END"
+
+
+def _release(spark, sf) -> DataFrame:
+    k = F.col("id")
+    pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), (k % n).cast("int"))
+    rows = scores(spark, sf).select("label", "score", pick(_KINDS, 9).alias("type"), pick(_TESTS, 8).alias("stress"), (F.floor(k / 8) % 4).alias("variant"))
+    return evaluation.release_criteria(rows, importance=0.12)
+
+
+@query("t_release", f"{_GO} SELECT category, name, round(value, 6) AS value FROM crit")
+def t_release(spark, sf):
+    """The value of every criterion of the five categories."""
+    return _values(_release(spark, sf))
+
+
+def _values(criteria: DataFrame) -> DataFrame:
+    """One row a criterion: of a type, its recall, which comes first."""
+    need = F.create_map(*[F.lit(x) for k, (r, _) in C.PER_TYPE.items() for x in (k, r)])
+    recall = (F.col("category") != "per_type_metrics") | (F.col("low") == F.element_at(need, F.col("name")))
+    return criteria.where(recall).select("category", "name", F.round("value", 6).alias("value"))
+
+
+@query("t_release_categories", f"{_GO}, c AS (SELECT category, count(*) FILTER (ok) AS passed, count(*) AS total FROM crit GROUP BY category) SELECT category, CAST(passed AS BIGINT) AS passed, CAST(total AS BIGINT) AS total, {_RULES} AS enough, {_SHARES} AS weight FROM c")
+def t_release_categories(spark, sf):
+    """The five categories: how many of their criteria pass, and whether that is enough."""
+    return evaluation.categories(_release(spark, sf), C.NEEDED).select("category", "passed", "total", "enough", "weight")
+
 
+@query("t_release_decision", f"{_GO}, c AS (SELECT category, count(*) FILTER (ok) AS passed, count(*) AS total FROM crit GROUP BY category), d AS (SELECT round(sum({_SHARES} * passed / total), 6) AS weighted_score, bool_or(category = 'aggregate_metrics' AND passed < total) AS critical_failure FROM c) SELECT *, CASE WHEN weighted_score >= 0.85 AND NOT critical_failure THEN 'GO' ELSE 'NO-GO' END AS decision FROM d")
+def t_release_decision(spark, sf):
+    """Whether a model with these scores is released."""
+    return evaluation.acceptance(_release(spark, sf), C.NEEDED)
 
-@query("t_train")
-def t_train(spark, sf):
-    """Boosted trees on made-up records' features, calibrated and evaluated on a held-out split: one row of metrics."""
-    rows = generate.records(spark, 2000).withColumnRenamed("line_content", "line").withColumnsRenamed({"context_before": "before", "context_after": "after", "file_path": "file"})
-    rows = features.with_features(rows.withColumn("type", F.lit("ENTROPY_CANDIDATE")).select("id", "label", "token", "line", "before", "after", "file", "type"), record=True)
-    parts = dataset.split(rows, {"train": 0.6, "cal": 0.2, "test": 0.2}, ["label"], "id").cache()
-    model = models.trees(rounds=10, depth=4).fit(parts.where("split = 'train'"))
-    a, b = models.platt(models.scored(model, parts.where("split = 'cal'")))
-    test = models.scored(model, parts.where("split = 'test'")).withColumn("score", scoring.platt(F.col("score"), a, b))
-    return evaluation.metrics(test)
 
 
 # Service.
