@@ -151,3 +151,41 @@ def test_odd_rows_of_vectors(spark):
     assert found == [("1", 3, "1", True), ("1", 3, "1", True), ("2", 3, "1", False), ("3", 0, "3", True), ("40", 3, "1", False), ("None", 0, "None", True)]
     got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=3).collect())
     assert got == [(40, 1, 2, 2.0), (40, 2, 1, 1.0), (40, 3, 1, 1.0)]
+
+
+@pytest.mark.parametrize("by", [1e-300, 1e200])
+def test_very_large_and_very_small_components(spark, matrix, by):
+    some = matrix[:80] / np.abs(matrix[:80]).max()
+    plain = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(some)], "vec_id long, embedding array<double>")
+    links = lambda rows: [(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.duplicate_vectors(rows).orderBy("vec_id").collect()]
+    want = links(plain)
+    assert any(n for _, n, _ in want)
+    # Every other vector alone: cosines between small and large ones are the same.
+    assert links(spark.createDataFrame([(i, (v * (by if i % 2 else 1)).tolist()) for i, v in enumerate(some)], plain.schema)) == want
+
+
+@pytest.mark.parametrize("by", [1e-150, 1e153])
+def test_neighbours_whose_squares_leave_the_range_of_the_bounds(spark, matrix, by):
+    some = matrix[:80] / np.abs(matrix[:80]).max()
+    rows = spark.createDataFrame([(i, (v * by).tolist()) for i, v in enumerate(some)], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in neighbours.nearest(rows, F.col("vec_id") % 20 == 0, k=5).collect()}
+    exact = some @ some.T
+    np.fill_diagonal(exact, -np.inf)
+    true = {(q, int(x)) for q in range(0, 80, 20) for x in np.argsort(-exact[q])[:5]}
+    assert len(found) == 20 and len(found & true) >= 18
+
+
+def test_parts_of_queries_visit_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 16)
+    r = np.random.default_rng(8)
+    middle = r.normal(size=(30, 16)) * 4
+    points = middle[np.arange(1500) % 30] + r.normal(size=(1500, 16)) * 0.1
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    found = {}
+    for row in neighbours.nearest(rows, F.col("vec_id") % 7 == 0, k=10, pivots=32, probed=16, block=64).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    exact = points @ points.T
+    np.fill_diagonal(exact, -np.inf)
+    true = {q: set(np.argsort(-exact[q])[:10].tolist()) for q in range(0, 1500, 7)}
+    assert set(found) == set(true) and all(len(x) == 10 for x in found.values())
+    assert sum(len(found[q] & true[q]) for q in true) >= 0.9 * 10 * len(true)

@@ -13,7 +13,7 @@ from vaultsieve.sources.package import ship
 
 from .common import staged, unstage
 from .components import components
-from .vectors import chained, digest, matrix, sampled, usable
+from .vectors import chained, digest, matrix, normed, sampled, usable
 
 #: Rows that the shard centres are fitted on; centres at most; classes per centre, about; vector components per bundle of shards.
 SAMPLE, CENTRES, SHARD, BUNDLE = 16384, 4096, 1000, 2**20
@@ -23,7 +23,7 @@ DEGREE, SLACK, BEAM = 16, 1.2, 24
 
 def centres(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means on the sample."""
-    points = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    points = normed(sample)
     middle = points[:count].copy()
     for _ in range(rounds):
         own = np.argmax(points @ middle.T, axis=1)
@@ -161,7 +161,8 @@ def duplicate_vectors(vectors: DataFrame, least: float = 0.9, shard: int = SHARD
     it has all, and how many the first searches found is logged. A task returns one count and one root for each class
     with links, not all pairs.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing and keep themselves. Repeated
+    Vectors that are null, zero, or hold null or non-finite components link with nothing and keep themselves; very large
+    and very small components are scaled before they are squared. Repeated
     rows are equal vectors, linked with each other. A null id links with nothing. No rows give no rows. Other columns
     are left out. Of vectors of unequal lengths the shorter count as filled up with zeros.
     """
@@ -179,8 +180,7 @@ def duplicate_vectors(vectors: DataFrame, least: float = 0.9, shard: int = SHARD
 
     def place(frames):
         for frame in frames:
-            points = matrix(frame["v"], width)
-            points /= np.linalg.norm(points, axis=1, keepdims=True)
+            points = normed(matrix(frame["v"], width))
             frame["home"] = np.argmax(points @ middle.T, axis=1)
             frame["v"] = points.tolist()
             yield frame
@@ -217,7 +217,7 @@ def duplicate_vectors(vectors: DataFrame, least: float = 0.9, shard: int = SHARD
     unstage(placed)
     asked = graph.select(F.col("bundle").alias("i"), F.explode("asks").alias("j"), *[F.col(c).alias(c) for c in ("cls", "copies", "v")])
     pairs = graph.select(F.col("bundle").alias("i"), F.explode("asks").alias("j")).distinct()
-    data = graph.withColumnRenamed("bundle", "j").join(F.broadcast(pairs), "j").select("i", "j", "cls", "copies", "v", "unit", "edges", "entry")
+    data = graph.withColumnRenamed("bundle", "j").join(pairs, "j").select("i", "j", "cls", "copies", "v", "unit", "edges", "entry")
 
     def search(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not (len(data) and len(asked)):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vaultsieve.sources.package import ship
 
 from .common import staged
-from .vectors import chained, matrix, sampled, usable
+from .vectors import chained, matrix, power, sampled, usable
 
 #: Pivots: a sample of the rows, by the order of a hash. The footrule distance is summed over the PROBED nearest to the query.
 PIVOTS, PROBED = 256, 64
@@ -46,15 +46,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIV
     The pivots are a bounded sample, and every row is indexed. Vectors that are null, zero, or hold null or non-finite
     components take no part. Vectors of unequal lengths are compared as if filled up with zeros. Repeated rows: rows
     with a query's id are not its neighbours; repeated candidates each count; of a query's rows the least vector asks.
-    No rows give no rows. Other columns are left out.
+    No rows give no rows. Other columns are left out. Very large and very small components are scaled for the search;
+    a product that leaves the range of doubles is what doubles make of it.
     """
     ship(vectors.sparkSession)
     rows = staged(usable(vectors, id_col, vector_col), "vectors")
     none = rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    total, longest, width = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), F.max(F.size("v"))).first()
+    largest = lambda by: F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * by * (x * by)))
+    total, longest, big, width = rows.agg(F.count(F.lit(1)), largest(F.lit(1.0)), F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
     if not total:
         return none
-    sample = sampled(rows, pivots)
+    scale = 1.0
+    if not 1e-200 < longest < 1e200:
+        # Squares would leave the range of doubles; all vectors shrink or grow alike. Scores are of the original ones.
+        scale = float(np.ldexp(1.0, min(1000, -int(power(np.float64(big))))))
+        longest = rows.agg(largest(F.lit(scale))).first()[0]
+    sample = sampled(rows, pivots) * scale
     sample = np.hstack([sample, np.zeros((len(sample), width - sample.shape[1]))])
     lengthen = lambda m: np.hstack([m, np.sqrt(np.maximum(0, longest - (m * m).sum(axis=1)))[:, None]])
     anchors = lengthen(sample)
@@ -71,7 +78,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIV
     def posted(asking: bool):
         def run(frames):
             for frame in frames:
-                m = matrix(frame["v"], width)
+                m = matrix(frame["v"], width) * scale
                 at = places(np.hstack([m, np.zeros((len(m), 1))]) if asking else lengthen(m))
                 frame["home"], frame["places"] = at.argmin(axis=1), [x.tobytes() for x in at]
                 yield frame
@@ -113,19 +120,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIV
         sizes[home] = size
     starts = np.cumsum(sizes) - sizes
     pick = lambda x: F.element_at(F.array(*[F.lit(int(n)) for n in x]), F.col("home").cast("int") + 1).cast("long")
-    stand = F.floor((pick(starts) + F.pmod(F.xxhash64("vec_id"), F.greatest(pick(sizes), F.lit(1)))) / block).cast("long")
+    dealt = lambda starts, sizes, n: F.floor((pick(starts) + F.pmod(F.xxhash64("vec_id"), F.greatest(pick(sizes), F.lit(1)))) / n).cast("long")
     first, last = starts // block, (starts + np.maximum(sizes, 1) - 1) // block
-    parts = -(-asked.count() // PART)
+    # Queries are dealt to parts along the same chain, so that those of a part visit much the same blocks.
+    askers = np.zeros(count, np.int64)
+    for home, size in asked.groupBy("home").count().collect():  # one row per pivot
+        askers[home] = size
+    part = dealt(np.cumsum(askers) - askers, askers, PART).alias("part")
 
     def visits(frames):
         for frame in frames:
             near = [np.flatnonzero((x < visited) & (sizes > 0)) for x in read(frame)]
             frame["block"] = [np.unique(np.concatenate([np.arange(first[p], last[p] + 1) for p in x] or [np.zeros(0, np.int64)])).tolist() for x in near]
-            yield frame[["vec_id", "v", "places", "block"]]
+            yield frame[["vec_id", "v", "places", "home", "block"]]
 
-    asking = asked.mapInPandas(visits, "vec_id long, v array<double>, places binary, block array<long>")
-    asking = asking.select("vec_id", "v", "places", F.explode("block").alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"))
-    data = index.select("vec_id", "v", "places", stand.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    visiting = staged(asked.mapInPandas(visits, "vec_id long, v array<double>, places binary, home long, block array<long>").select("vec_id", "v", "places", part, "block"), "visits")
+    asking = visiting.select("vec_id", "v", "places", "part", F.explode("block").alias("block"))
+    # An index row goes to the parts that visit its block, and to no other.
+    visitors = asking.select("block", F.col("part").alias("visitor")).distinct()
+    data = index.select("vec_id", "v", "places", dealt(starts, sizes, block).alias("block")).join(visitors, "block")
+    data = data.select("vec_id", "v", "places", F.col("block").alias("b"), F.col("visitor").alias("p"))
 
     def search(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
@@ -144,5 +158,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIV
                 out["score"] += score[order].tolist()
         return pd.DataFrame({c: pd.Series(x, dtype="float64" if c == "score" else "int64") for c, x in out.items()})
 
-    found = data.groupBy("block", "part").cogroup(asking.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = data.groupBy("b", "p").cogroup(asking.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score double")
     return top(found).select("query_id", "rank", "vec_id", "score")

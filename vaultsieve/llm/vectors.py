@@ -32,6 +32,17 @@ def matrix(column: pd.Series, width: int | None = None) -> np.ndarray:
     return out
 
 
+def power(largest: np.ndarray) -> np.ndarray:
+    """The exponent e of the least power of two above each value, so that what is divided by 2**e is at most 1, without rounding."""
+    return np.frexp(largest)[1]
+
+
+def normed(points: np.ndarray) -> np.ndarray:
+    """Rows at length 1. Each is scaled by a power of two first: the squares of very large or small components would leave the range of doubles."""
+    points = np.ldexp(points, -power(np.abs(points).max(axis=1, initial=0.0))[:, None])
+    return points / np.linalg.norm(points, axis=1, keepdims=True)
+
+
 def sampled(rows: DataFrame, most: int) -> np.ndarray:
     """At most `most` vectors, by the order of a hash of their ids."""
     chosen = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(most).select("v").toPandas()
