@@ -35,6 +35,11 @@ def is_scanned(path: Column, extra: str = "") -> Column:
     return ~(has_ignored_name(path, names) | matches_ignored_glob(path, globs))
 
 
+def is_entered(path: Column, extra: str = "") -> Column:
+    """Whether a folder may hold files that are scanned: ignored names leave out all below them, globs only files."""
+    return ~has_ignored_name(path, [*C.IGNORED_NAMES, *(p for p in map(str.strip, extra.split(",")) if p and "*" not in p)])
+
+
 def within_size(length: Column, most: int = 10 * 1024 * 1024) -> Column:
     return length <= most
 

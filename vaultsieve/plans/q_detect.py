@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from vaultsieve.functions.text import entropy, strip
 from vaultsieve.operators import detect, lines, paths
 from vaultsieve.plans import corpus, oracle
 from vaultsieve.plans.registry import query
+from vaultsieve.sources import files, listing
 
 ENDS = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e]'"
 
@@ -202,3 +205,39 @@ def d_regex_split(spark, sf):
 @query("r_summary_by_type", f"WITH {oracle.FINDINGS} SELECT severity, type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT file) AS BIGINT) AS n_files FROM findings GROUP BY severity, type")
 def r_summary_by_type(spark, sf):
     return findings(spark, sf).groupBy("severity", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("n_files"))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder in which every file of the derived corpus is a file of its own."""
+    root = f"{listing.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    listing.write_tree(corpus.files(spark, sf_dir).select("file", F.encode(F.array_join("lines", "\n"), "UTF-8").alias("content")), root)
+    return root
+
+
+def _below(path: str):
+    return F.regexp_extract(path, "/tree-[0-9a-f]{32}/(.*)$", 1)
+
+
+_SCANNED = f"NOT ({_NAMES}) AND NOT {_globs('name')}"
+
+
+@query("s_tree_scan", f"WITH {oracle.FINDINGS} SELECT {_SCAN} FROM (SELECT *, regexp_extract(file, '([^/]*)$', 1) AS name FROM findings) WHERE {_SCANNED}")
+def s_tree_scan(spark, sf):
+    """Findings of a tree of real files: folders listed by tasks, ignored ones never entered, hidden files read."""
+    found = files.scan(spark, tree(spark, sf))
+    return found.select(_below("file").alias("file"), "line_no", "type", "evidence", "severity", F.round("confidence", 6).alias("confidence"), F.round("entropy", 6).alias("entropy"), "token", "snippet")
+
+
+@query("s_tree_listing", f"{_FILES} SELECT file, CAST(n_bytes - 1 AS BIGINT) AS length, {_SCANNED} AS scanned, CASE WHEN n_bytes - 1 > 400 AND {_SCANNED} THEN 'Skipped large file' END AS error FROM f")
+def s_tree_listing(spark, sf):
+    """Every file of the tree, whether a scan reads it by its path, and what is too large."""
+    listed = listing.tree(spark, tree(spark, sf)).where("kind = 'file'")
+    scanned = paths.is_scanned(_below("path"))
+    return listed.select(_below("path").alias("file"), "length", scanned.alias("scanned"), F.when(scanned & ~paths.within_size(F.col("length"), 400), F.lit("Skipped large file")).alias("error"))
+
+
+@query("s_tree_levels", f"WITH corpus AS ({corpus.SQL}) SELECT CAST(len(string_split(file, '/')) AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT file FROM corpus) WHERE NOT list_contains(string_split(file, '/'), 'secrets') GROUP BY 1")
+def s_tree_levels(spark, sf):
+    """Files of each level below the root, where folders of one name are never entered."""
+    listed = listing.tree(spark, tree(spark, sf), wanted=~paths.has_ignored_name(F.col("path"), ["secrets"]))
+    return listed.groupBy(F.size(F.split(_below("path"), "/")).cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vaultsieve.operators import detect, lines, paths
 from vaultsieve.operators.context import contexts
+from vaultsieve.sources import listing
 from vaultsieve.sources.package import ship
 
 SCHEMA = "path string, length long, content binary"
@@ -136,8 +137,10 @@ def missing(spark: SparkSession, named: str | Sequence[str], what: str) -> DataF
 
 
 def scan_errors(spark: SparkSession, roots: str | Sequence[str], recursive: bool = True, extra_ignored: str = "", max_bytes: int = 10 * 1024 * 1024) -> DataFrame:
-    """path, error of what a scan of the roots leaves out without being told to: roots that don't exist and files that are too large."""
-    return missing(spark, roots, "Not a directory").unionByName(errors(read_tree(spark, roots, recursive, extra_ignored, max_bytes), extra_ignored, max_bytes))
+    """path, error of what a scan of the roots leaves out without being told to: roots that don't exist, files that are too large and folders that can't be read. No file is opened."""
+    listed = listing.tree(spark, roots, recursive, paths.is_entered(F.col("path"), extra_ignored))
+    unread = listed.where("kind = 'unreadable'").select("path", F.concat(F.lit("Unreadable folder: "), "path").alias("error"))
+    return missing(spark, roots, "Not a directory").unionByName(errors(listed.where("kind = 'file'"), extra_ignored, max_bytes)).unionByName(unread)
 
 
 def decoded(content: Column) -> Column:
@@ -154,8 +157,10 @@ def as_lines(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
 
 
 def scan(spark: SparkSession, roots: str | Sequence[str], recursive: bool = True, extra_ignored: str = "", max_bytes: int = 10 * 1024 * 1024) -> DataFrame:
-    """Findings of all files below the roots, each with its neighbouring lines: one narrow stage from file to finding. What can't be scanned is in scan_errors()."""
-    files = scannable(read_tree(spark, roots, recursive, extra_ignored, max_bytes), extra_ignored, max_bytes)
+    """Findings of all files below the roots, each with its neighbouring lines. Tasks list the folders, a round for each level, without those that the path rules leave out; then one narrow stage leads from file to finding. What can't be scanned is in scan_errors()."""
+    listed = listing.tree(spark, roots, recursive, paths.is_entered(F.col("path"), extra_ignored))
+    named = listed.where(F.col("kind") == "file").where(paths.is_scanned(F.col("path"), extra_ignored) & paths.within_size(F.col("length"), max_bytes))
+    files = listing.contents(named).where(~lines.looks_binary(F.col("content")))
     return detect.scan_lines(contexts(as_lines(files)))
 
 
