@@ -9,12 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def character_counts(text: Column) -> Column:
+    """How often each of a text's different characters stands in it, by first occurrence."""
+    kinds = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    return F.transform(kinds, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+
+
+def entropy_of_counts(counts: Column, n: Column) -> Column:
+    """Shannon entropy in bits per character of counts whose sum is n; 0 for none."""
+    return F.when(n == 0, 0.0).otherwise(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc - x / n * F.log2(x / n)))
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits per character; 0 for the empty string, null for null."""
-    n = F.length(text)
-    kinds = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    shares = F.transform(kinds, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)))
+    return entropy_of_counts(character_counts(text), F.length(text))
 
 
 def strip(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultsieve.functions import constants as C
-from vaultsieve.functions.text import after_first, before_first, contains_any, count_of, entropy, matches_any, starts_any, strip
+from vaultsieve.functions.text import after_first, before_first, character_counts, contains_any, count_of, entropy, entropy_of_counts, matches_any, starts_any, strip
 from vaultsieve.operators import context as X
 
 _HEX = r"^[0-9a-fA-F]*$"
@@ -21,9 +21,15 @@ def _sum(columns: Iterable[Column]) -> Column:
 
 
 def base(candidates: DataFrame, record: bool = False) -> DataFrame:
-    """What several features are made of, computed once. record: by the rules for training records, which have no file around them."""
+    """What several features are made of, computed once, in steps: a step's column that a later one reads twice is not computed twice.
+
+    record: by the rules for training records, which have no file around them.
+    """
     made = candidates.withColumns({"full": X.full_context(), "token": F.coalesce("token", F.lit("")), "name": X.variable_name(c("line"), c("token"))})
-    made = made.withColumns({"n": F.length("token"), "ent": entropy(c("token")), "pre": before_first(c("line"), c("token")), "post": after_first(c("line"), c("token")), "path": F.lower("file"), "low": F.lower("full"), "near": near_tokens(c("full"))})
+    made = made.withColumns({"n": F.length("token"), "counts": character_counts(c("token")), "pre": before_first(c("line"), c("token")), "post": after_first(c("line"), c("token")), "path": F.lower("file"), "low": F.lower("full"), "near": near_tokens(c("full")), "rows": F.split("full", "\n", -1)})
+    made = made.withColumns({"ent": entropy_of_counts(c("counts"), c("n")), "shape": structure_score(c("token")), "base64": is_base64_like(c("token")), "has_token": F.transform("rows", lambda x: x.contains(c("token")))})
+    made = made.withColumns({"norm": normalized_entropy(c("token"), c("ent"), c("base64")), "first": F.array_position("has_token", F.lit(True)).cast("int")})
+    made = made.withColumn("beside", beside())
     if record:
         line, path = strip(c("line")), F.lower(F.coalesce("file", F.lit("")))
         count = F.size("before") + 1 + F.size("after")
@@ -42,19 +48,24 @@ def ratios() -> dict[str, Column]:
         "token_length": c("n"),
         "token_entropy": c("ent"),
         "char_class_count": char_classes(t),
-        "digit_ratio": count_of(t, r"\p{Nd}") / n,
-        "uppercase_ratio": count_of(t, r"\p{Lu}") / n,
-        "special_char_ratio": count_of(t, r"[^\p{L}\p{N}]") / n,
+        "digit_ratio": without(t, r"\P{Nd}") / n,
+        "uppercase_ratio": without(t, r"\P{Lu}") / n,
+        "special_char_ratio": without(t, r"[\p{L}\p{N}]") / n,
     }
 
 
+def without(text: Column, kind: str) -> Column:
+    """How many characters are not of that kind."""
+    return F.length(F.regexp_replace(text, f"{kind}+", ""))
+
+
 def is_base64_like(token: Column) -> Column:
     n = F.length(token)
-    return (n >= 4) & (F.greatest(count_of(token, r"[A-Za-z0-9+/=]"), count_of(token, r"[A-Za-z0-9_=-]")) / F.greatest(n, F.lit(1)) >= 0.95)
+    return (n >= 4) & (F.greatest(without(token, r"[^A-Za-z0-9+/=]"), without(token, r"[^A-Za-z0-9_=-]")) / F.greatest(n, F.lit(1)) >= 0.95)
 
 
 def base64_and_padding() -> dict[str, Column]:
-    return {"is_base64_like": is_base64_like(c("token")), "has_padding": c("token").endswith("=")}
+    return {"is_base64_like": c("base64"), "has_padding": c("token").endswith("=")}
 
 
 def match_type() -> dict[str, Column]:
@@ -70,27 +81,25 @@ def structure_score(token: Column) -> Column:
 
 
 def structure() -> dict[str, Column]:
-    return {"token_structure_score": structure_score(c("token")), "has_version_pattern": matches_any(c("token"), C.VERSIONS)}
+    return {"token_structure_score": c("shape"), "has_version_pattern": matches_any(c("token"), C.VERSIONS)}
 
 
-def normalized_entropy(token: Column, value: Column) -> Column:
-    most = F.when(token.rlike(r"[^\p{L}\p{N}]"), C.ENTROPY_SPECIAL).when((F.length(token) >= 8) & token.rlike(_HEX), C.ENTROPY_HEX).when(is_base64_like(token), C.ENTROPY_BASE64).otherwise(C.ENTROPY_ALPHANUMERIC)
+def normalized_entropy(token: Column, value: Column, base64: Column) -> Column:
+    most = F.when(token.rlike(r"[^\p{L}\p{N}]"), C.ENTROPY_SPECIAL).when((F.length(token) >= 8) & token.rlike(_HEX), C.ENTROPY_HEX).when(base64, C.ENTROPY_BASE64).otherwise(C.ENTROPY_ALPHANUMERIC)
     return F.when(F.length(token) < 4, 0.0).otherwise(F.least(value / most, F.lit(1.0)))
 
 
-def crypto_score(token: Column, value: Column) -> Column:
+def crypto_score(token: Column, counts: Column, norm: Column, shape: Column) -> Column:
+    """counts: of the token's different characters; norm, shape: its normalized entropy and structure score."""
     n = F.length(token)
-    kinds = F.filter(F.array_distinct(F.split(token, "")), lambda x: x != "")
-    most = F.array_max(F.transform(kinds, lambda x: n - F.length(F.replace(token, x, F.lit("")))))
-    even = 1 - (most - n / F.size(kinds)) / n
-    norm, shape = normalized_entropy(token, value), structure_score(token)
+    even = 1 - (F.array_max(counts) - n / F.size(counts)) / n
     score = F.when(norm > 0.9, 0.4).when(norm > 0.7, 0.2).otherwise(0.0) + F.when(shape < 0.1, 0.3).when(shape < 0.3, 0.15).otherwise(0.0) + F.when(even > 0.8, 0.2).when(even > 0.6, 0.1).otherwise(0.0)
     score = score - F.when(token.rlike(C.UUID), 0.4).otherwise(0.0) - F.when((n == 40) & token.rlike(_HEX), 0.3).otherwise(0.0)
     return F.when(n < 8, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
 def randomness() -> dict[str, Column]:
-    return {"normalized_entropy": normalized_entropy(c("token"), c("ent")), "cryptographic_score": crypto_score(c("token"), c("ent"))}
+    return {"normalized_entropy": c("norm"), "cryptographic_score": crypto_score(c("token"), c("counts"), c("norm"), c("shape"))}
 
 
 def vendor() -> dict[str, Column]:
@@ -150,7 +159,9 @@ def jwt_valid(token: Column) -> Column:
     is_object = lambda x: F.coalesce(x.rlike(r"(?s)^\s*\{.*\}\s*$") & F.try_parse_json(x).isNotNull(), F.lit(False))
     kind, subject, expiry = F.get_json_object(head, "$.typ"), F.lower(F.get_json_object(body, "$.sub")), F.get_json_object(body, "$.exp").try_cast("double")
     fine = (F.coalesce(F.get_json_object(head, "$.alg"), F.lit("")) != "none") & (kind.isNull() | kind.isin("JWT", "at+jwt"))
-    return F.coalesce((F.size(parts) == 3) & is_object(head) & is_object(body) & fine & ~F.coalesce(contains_any(subject, C.JWT_SUBJECTS), F.lit(False)) & ~F.coalesce(expiry < C.JWT_EARLIEST, F.lit(False)), F.lit(False))
+    valid = is_object(head) & is_object(body) & fine & ~F.coalesce(contains_any(subject, C.JWT_SUBJECTS), F.lit(False)) & ~F.coalesce(expiry < C.JWT_EARLIEST, F.lit(False))
+    # A branch, so that nothing of it is computed ahead for tokens of another form.
+    return F.coalesce(F.when(F.size(parts) == 3, valid), F.lit(False))
 
 
 def jwt() -> dict[str, Column]:
@@ -175,13 +186,13 @@ def name_flags() -> dict[str, Column]:
     }
 
 
-def gram_score(name: Column, grams: dict[str, float]) -> Column:
-    low = F.lower(name)
+def gram_score(low: Column, grams: dict[str, float]) -> Column:
+    """low: a name in lower case."""
     return F.least(_sum(F.when(low.contains(g), w * 0.5).otherwise(0.0) for g, w in grams.items()), F.lit(1.0))
 
 
 def name_grams() -> dict[str, Column]:
-    name = F.coalesce("name", F.lit(""))
+    name = F.lower(F.coalesce("name", F.lit("")))
     return {"var_ngram_secret_score": gram_score(name, C.SECRET_GRAMS), "var_ngram_safe_score": gram_score(name, C.SAFE_GRAMS)}
 
 
@@ -221,8 +232,9 @@ def semantic() -> dict[str, Column]:
 
 
 def _mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + 1).alias("n"))
+    return F.coalesce(F.aggregate(values, start, step, lambda a: F.when(a["n"] > 0, a["sum"] / a["n"])), F.lit(0.0))
 
 
 def near_tokens(text: Column) -> Column:
@@ -249,18 +261,21 @@ def surroundings() -> dict[str, Column]:
 
 
 def adjacency() -> dict[str, Column]:
-    others = F.filter(F.split(c("full"), "\n"), lambda x: ~x.contains(c("token")))
+    others = F.filter("rows", lambda x, i: ~F.get("has_token", i))
     names = F.flatten(F.transform(others, lambda x: F.regexp_extract_all(x, F.lit(f"(?U){C.IDENTIFIER}"), F.lit(1))))
-    score = F.aggregate(names, F.lit(0.0), lambda a, x: a + gram_score(x, C.SECRET_GRAMS))
+    score = F.aggregate(F.transform(names, F.lower), F.lit(0.0), lambda a, x: a + gram_score(x, C.SECRET_GRAMS))
     return {"adjacency_ngram_score": F.when((c("n") > 0) & c("full").contains(c("token")), score).otherwise(0.0)}
 
 
+def beside() -> Column:
+    """Entropies of the three lines on each side of the first one with the token, blank ones left out."""
+    first, start = c("first"), F.greatest(c("first") - 3, F.lit(1))
+    near = F.concat(F.slice("rows", start, first - start), F.slice("rows", first + 1, F.lit(3)))
+    return F.when((c("n") > 0) & (first > 0), F.transform(F.filter(near, lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]")), entropy))
+
+
 def cross_lines() -> dict[str, Column]:
-    rows = F.split(c("full"), "\n", -1)
-    first = F.array_position(F.transform(rows, lambda x: x.contains(c("token"))), F.lit(True)).cast("int")
-    near = F.concat(F.slice(rows, F.greatest(first - 3, F.lit(1)), first - F.greatest(first - 3, F.lit(1))), F.slice(rows, first + 1, F.lit(3)))
-    values = F.transform(F.filter(near, lambda x: strip(x) != ""), lambda x: entropy(x))
-    return {"cross_line_entropy": F.when((c("n") > 0) & (first > 0), _mean(values)).otherwise(0.0)}
+    return {"cross_line_entropy": _mean(c("beside"))}
 
 
 def token_kinds() -> dict[str, Column]:
