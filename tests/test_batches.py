@@ -1,0 +1,42 @@
+"""Functions over batches against Spark's own expressions, bit by bit."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from vaultsieve.functions import batches, text
+from vaultsieve.operators import context, detect, features
+from vaultsieve.sources.package import ship
+
+
+def test_entropies_equal_those_of_expressions(spark):
+    ship(spark)
+    draw = random.Random(7)
+    made = lambda: "".join(draw.choices(draw.choice(["ab", "aB3dE5gH7jK9mN2p", "aé中😀", "x"]), k=draw.choice([0, 1, 7, 20, 64, 255, 256, 700])))
+    rows = [(made(), [made() for _ in range(draw.randrange(4))]) for _ in range(500)] + [(None, None), ("", []), ("a", [None, "ab"])]
+    found = spark.createDataFrame(rows, "t string, a array<string>").select(
+        text.entropy(F.col("t")).alias("one"), batches.entropy(F.col("t")).alias("batch_one"), F.transform("a", text.entropy).alias("each"), batches.entropies(F.col("a")).alias("batch_each"),
+        text.character_counts(F.coalesce("t", F.lit(""))).alias("counts"), batches.characters(F.coalesce("t", F.lit(""))).alias("kinds"),
+    ).collect()
+    for r in found:
+        assert (r.one, r.each) == (r.batch_one, r.batch_each)
+        assert (max(r.counts, default=0), len(r.counts)) == (r.kinds.most, r.kinds.kinds)
+
+
+def test_asked_patterns_equal_those_of_expressions(spark):
+    ship(spark)
+    texts = ["", "import os", "a\n  def f (x", "from dotenv\n import", "COMMIT mock", "my test_x", "-----BEGIN RSA KEY-----", "export a_secret", "x\x0b", "ſecret ſha", "toKen", "a\rimport b", "é test", None]
+    for patterns in features.ASKED.values():
+        joined = "|".join(f"(?:{p})" for p in patterns)
+        rows = spark.createDataFrame([(t,) for t in texts], "full string").withColumn("marks", batches.held(F.col("full"), [joined]))
+        for r in rows.select("full", "marks", text.matches_any(F.col("full"), patterns).alias("want")).collect():
+            plain = r.full is not None and all(x in "\t\n" or " " <= x <= "~" for x in r.full)
+            assert r.marks == (int(r.want) if plain else None)
+
+
+def test_scans_and_features_take_entropies_in_batches(spark):
+    files = spark.createDataFrame([("f", ["secret = 'aB3dE5gH7jK9mN2pqR4sT6uV8wX1yZ0c'"])], "file string, lines array<string>")
+    found = detect.scan_lines(context.contexts(files))
+    for made in (found, features.with_features(found)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan and "log2" not in plan.lower() and "Exchange" not in plan
