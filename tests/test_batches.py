@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from vaultsieve.functions import batches, text
-from vaultsieve.operators import context, detect, features
+from vaultsieve.operators import context, detect, features, service
 from vaultsieve.sources.package import ship
 
 
@@ -40,3 +40,10 @@ def test_scans_and_features_take_entropies_in_batches(spark):
     for made in (found, features.with_features(found)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" in plan and "log2" not in plan.lower() and "Exchange" not in plan
+
+
+def test_names_pass_the_cheap_test_before_their_pattern(spark):
+    lines = ["a = 'x'", 'b : str = "x"', "const c = 1", "let d = 2", "var e = 3", "f: 'x'", '"g": \'x\'', "h = x", "constant: 5", "é = 'x'", "", None]
+    for pattern in service.NAMES:
+        rows = spark.createDataFrame([(x,) for x in lines], "line string").select(F.col("line").rlike(f"(?U){pattern}").alias("fits"), service.may_name(F.col("line"), pattern).alias("may")).collect()
+        assert any(r.fits for r in rows) and any(r.may is False for r in rows) and all(r.may for r in rows if r.fits)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +31,14 @@ def batch_summary(requests: DataFrame, findings: DataFrame) -> DataFrame:
     return every.groupBy("request").agg(F.count(F.lit(1)).alias("total_files"), F.sum("n").alias("total_findings"), F.sum("sure").alias("high_confidence_findings"), entries.alias("results"))
 
 
+def may_name(line: Column, pattern: str) -> Column:
+    """Whether the line holds the words and marks that the pattern can't do without: a cheap test before it."""
+    quoted = [line.contains("'") | line.contains('"')] if "['\"]" in pattern or "[\"\']" in pattern else []
+    return reduce(lambda a, b: a & b, [*quoted, *(line.contains(x) for x in re.findall("const|let|var|[=:]", pattern))])
+
+
 def prompt_name(line: Column) -> Column:
-    return F.coalesce(*[F.when(line.rlike(f"(?U){p}"), F.regexp_extract(line, f"(?U){p}", 1)) for p in NAMES])
+    return F.coalesce(*[F.when(may_name(line, p) & line.rlike(f"(?U){p}"), F.regexp_extract(line, f"(?U){p}", 1)) for p in NAMES])
 
 
 def prompt() -> Column:
