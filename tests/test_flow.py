@@ -166,3 +166,13 @@ def test_a_tree_that_is_written_is_the_tree_that_is_read(spark, tmp_path):
     assert sorted((r.path.split("/out/")[1], bytes(r.content), r.length) for r in found) == sorted((f, c, len(c)) for f, c in rows)
     with pytest.raises(Exception, match="leads out of the folder"):
         listing.write_tree(spark.createDataFrame([("../x", b"")], "file string, content binary"), str(tmp_path / "out"))
+
+
+def test_lines_of_the_corpus_are_dealt_over_several_tasks_for_each_core(spark):
+    from vaultsieve.plans import corpus
+
+    cores = spark.sparkContext.defaultParallelism
+    for made in (corpus.lines, corpus.files):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert f"hashpartitioning(file#{plan.split('hashpartitioning(file#', 1)[1].split(',', 1)[0]}, {4 * cores}), REPARTITION_BY_NUM" in plan
+        assert plan.count("Exchange") == 1
