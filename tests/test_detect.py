@@ -90,3 +90,19 @@ def test_gate_rejects_unknown_levels(spark):
     assert report.fails(found, "INFO").first()[0] and not report.fails(found, "medium").first()[0] and not report.fails(found, "none").first()[0]
     with pytest.raises(ValueError):
         report.fails(found, "severe")
+
+
+def test_bare_texts_are_stripped_without_a_search(spark):
+    from vaultsieve.functions.text import strip
+
+    texts = ["", "a", " a", "a ", "a b", "\x1ca", "a\x1f", " a", "é ", " ", "é", "a\n", "\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip(F.col("t")).alias("got"), F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "").alias("want")).collect()
+    assert all(r.got == r.want for r in rows)
+
+
+def test_every_match_of_a_signature_holds_one_of_its_parts(spark):
+    more = [h + "0123456789ABCDEF" for h in detect.PARTS["AWS_ACCESS_KEY_ID"]] + [f"gh{x}_{A36}" for x in "pousr"] + [f"github_pat_{A36[:22]}_{(A36 * 2)[:59]}", f"rk_test_{A36[:24]}", f"sk-proj-{A36[:20]}T3{A36[:20]}"] + [f"xox{x}-1234567890-{A36[:24]}" for x in "pboar"]
+    rows = spark.createDataFrame([(t,) for t in [*HITS.values(), *more, "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"]], "t string")
+    patterns = {**C.CRITICAL, **C.HIGH}
+    found = rows.select("t", *[F.col("t").rlike(p).alias(n) for n, p in patterns.items()]).collect()
+    assert all(any(r[n] for n in patterns) and all(any(x in r.t for x in detect.PARTS[n]) for n in patterns if r[n]) for r in found)
