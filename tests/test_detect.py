@@ -106,3 +106,11 @@ def test_every_match_of_a_signature_holds_one_of_its_parts(spark):
     patterns = {**C.CRITICAL, **C.HIGH}
     found = rows.select("t", *[F.col("t").rlike(p).alias(n) for n, p in patterns.items()]).collect()
     assert all(any(r[n] for n in patterns) and all(any(x in r.t for x in detect.PARTS[n]) for n in patterns if r[n]) for r in found)
+
+
+def test_repeated_findings_of_a_line_count_once_without_a_shuffle(spark):
+    key = HITS["AWS_ACCESS_KEY_ID"]
+    rows = spark.createDataFrame([(1, f"{key} {key} {HITS['NPM_TOKEN']} {key}"), (2, key), (3, "nothing")], "line_no long, line string")
+    made = detect.scan_lines(rows, once=True)
+    assert sorted((r.line_no, r.type, r.seq) for r in made.collect()) == [(1, "AWS_ACCESS_KEY_ID", 0), (1, "NPM_TOKEN", 7000), (2, "AWS_ACCESS_KEY_ID", 0)]
+    assert detect.scan_lines(rows).count() == 5 and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
