@@ -176,3 +176,25 @@ def test_lines_of_the_corpus_are_dealt_over_several_tasks_for_each_core(spark):
         plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert f"hashpartitioning(file#{plan.split('hashpartitioning(file#', 1)[1].split(',', 1)[0]}, {4 * cores}), REPARTITION_BY_NUM" in plan
         assert plan.count("Exchange") == 1
+
+
+def test_lines_of_the_corpus_are_made_behind_the_shuffle_by_compiled_code(spark):
+    """The JVM leaves methods of over 8,000 bytes uncompiled; rows equal those of the text that the twins use."""
+    import re
+
+    from vaultsieve.plans import corpus
+
+    data = "/root/testdata/sf0.001"
+    plan = corpus.files(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "hunter" in plan.split("Exchange", 1)[0] and "hunter" not in plan.split("Exchange", 1)[1]
+    want = spark.sql(corpus.ROWS.replace("FROM orders)", "FROM {orders})"), orders=spark.read.parquet(f"{data}/orders.parquet"))
+    made = corpus._dealt(spark, data).select("k", "file", "line")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        execution = corpus.files(spark, data)._jdf.queryExecution()
+        code = execution.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert 0 < max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
