@@ -178,6 +178,15 @@ def test_lines_of_the_corpus_are_dealt_over_several_tasks_for_each_core(spark):
         assert plan.count("Exchange") == 1
 
 
+def test_each_task_that_writes_a_tree_has_a_folder_of_parts(spark, tmp_path):
+    """One folder for the parts of all tasks takes one entry at a time, so that tasks wait for each other."""
+    files_of = spark.createDataFrame([(f"a/{i}/./b//c.txt", b"x") for i in range(40)], "file string, content binary").repartition(3)
+    assert listing.write_tree(files_of, str(tmp_path / "out")) == 40
+    parts = list((tmp_path / "out-parts").iterdir())
+    assert len(parts) == 3 and all(x.is_dir() and not list(x.iterdir()) for x in parts)
+    assert listing.tree(spark, str(tmp_path / "out")).count() == 40
+
+
 def test_lines_of_the_corpus_are_made_behind_the_shuffle_by_compiled_code(spark):
     """The JVM leaves methods of over 8,000 bytes uncompiled; rows equal those of the text that the twins use."""
     import re

@@ -8,6 +8,7 @@ folders are not listed anew in every later round.
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 import tempfile
 import uuid
@@ -174,19 +175,24 @@ def write_tree(files: DataFrame, folder: str) -> int:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = opened(root)
-        parts = f"{base}-parts"  # beside the folder, where what a lost task leaves is no file of the tree
-        system.create_dir(parts, recursive=True)
-        made: set[str] = set()
+        part = f"{base}-parts/{uuid.uuid4().hex}/part"  # beside the folder, where what a lost task leaves is no file of the tree; each task has a folder of its own, as a folder takes one entry at a time
+        for above in (base, part.rsplit("/", 1)[0]):
+            system.create_dir(above, recursive=True)
+        made = {base}
+
+        def enter(above: str) -> None:
+            """Make a folder, from the top down, so that none is tried whose parent isn't there."""
+            if above not in made:
+                enter(above.rsplit("/", 1)[0])
+                system.create_dir(above, recursive=False)
+                made.add(above)
+
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name.startswith("/") or ".." in name.split("/"):
                     raise ValueError(f"{name} leads out of the folder")
-                whole = f"{base}/{name}"
-                above = whole.rsplit("/", 1)[0]
-                if above not in made:
-                    system.create_dir(above, recursive=True)
-                    made.add(above)
-                part = f"{parts}/{uuid.uuid4().hex}"
+                whole = posixpath.normpath(f"{base}/{name}")
+                enter(whole.rsplit("/", 1)[0])
                 with system.open_output_stream(part) as out:
                     out.write(content or b"")
                 system.move(part, whole)
