@@ -62,3 +62,19 @@ def test_features_of_tokens_count_characters_in_batches(spark):
         assert all(r[f"n_{k}"] == r[f"want_{k}"] for k in kinds), r.token
     asked = made.select("token", *[features.asked_of_token(k).alias(k) for k in features.ASKED_OF_TOKENS], *[text.matches_any(F.col("token"), p).alias(f"want_{k}") for k, p in features.ASKED_OF_TOKENS.items()]).collect()
     assert all(r[k] == r[f"want_{k}"] for r in asked for k in features.ASKED_OF_TOKENS)
+
+
+def test_names_of_prompts_in_linear_time(spark):
+    """The first match's name as the patterns themselves give it; a long word is no reason to try from every character of it."""
+    import time
+
+    draw = random.Random(5)
+    parts = ["a", "b_1", "=", ":", " ", "'", '"', "const ", "let\t", "var ", "é", "\u00a0", "\x1c", "９", "x", "= '", '": "', "\u200d", "😀", ": t = '"]
+    rows = [("".join(draw.choices(parts, k=draw.randrange(12))),) for _ in range(4000)] + [(None,), ("",)]
+    plain = F.coalesce(*[F.when(F.col("line").rlike(f"(?U){p}"), F.regexp_extract("line", f"(?U){p}", 1)) for p in service.NAMES])
+    found = spark.createDataFrame(rows, "line string").select("line", service.prompt_name(F.col("line")).alias("made"), plain.alias("want")).collect()
+    assert [r for r in found if r.made != r.want] == [] and sum(r.want is not None for r in found) > 500
+    long = spark.createDataFrame([("w" * 60_000 + " == '' : ; const",)], "line string").select(service.prompt_name(F.col("line")))
+    began = time.time()
+    assert long.first()[0] is None
+    assert time.time() - began < 10
