@@ -64,6 +64,25 @@ def test_features_of_tokens_count_characters_in_batches(spark):
     assert all(r[k] == r[f"want_{k}"] for r in asked for k in features.ASKED_OF_TOKENS)
 
 
+def test_means_of_near_tokens_equal_those_of_expressions(spark):
+    """Density as Spark's expressions give it, bit by bit; it is taken in batches, and no array of entropies comes back."""
+    ship(spark)
+    draw = random.Random(11)
+    token = lambda: "".join(draw.choices(["ghp_", "sk-", "", ""])) + "".join(draw.choices(draw.choice(["ab", "aB3dE5gH7jK9mN2pqR4sT6uV8wX1yZ0c"]), k=draw.choice([16, 19, 20, 40, 300])))
+    rows = [([token() for _ in range(draw.randrange(21))],) for _ in range(300)] + [(None,), ([],)]
+    score = F.transform("near", lambda t: ((text.entropy(t) > 4.0) & (F.length(t) >= 20)).cast("double") + text.starts_any(t, features.C.KNOWN_PREFIXES).cast("double"))
+    found = spark.createDataFrame(rows, "near array<string>").select(features._mean(score).alias("secrets"), features._mean(F.transform(F.slice("near", 1, 10), text.entropy)).alias("bits"), batches.near(F.col("near"), tuple(features.C.KNOWN_PREFIXES)).alias("made"))
+    for r in found.collect():
+        assert (r.secrets, r.bits) == (r.made.secrets, r.made.bits)
+
+
+def test_spelled_patterns_find_the_same(spark):
+    assert text.spelled("[A-Ca-z0-9_]+") == "[A-Cabcdefghijklmnopqrstuvwxyz0123456789_]+"
+    lines = spark.createDataFrame([("a-Z_9 /+=. é€x" * 3,), ("0123456789abcdef" * 9 + "\n~[]",), ("",)], "line string")
+    for p in (features.C.NEARBY_TOKEN, features.C.LINE_TOKEN):
+        assert lines.where(F.regexp_extract_all("line", F.lit(p), F.lit(0)) != F.regexp_extract_all("line", F.lit(text.spelled(p)), F.lit(0))).count() == 0
+
+
 def test_names_of_prompts_in_linear_time(spark):
     """The first match's name as the patterns themselves give it; a long word is no reason to try from every character of it."""
     import time
