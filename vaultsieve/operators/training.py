@@ -17,7 +17,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vaultsieve.operators import evaluation, scorers
@@ -82,8 +82,6 @@ def fold_reports(scored: DataFrame, precision: float = 0.95) -> DataFrame:
 
     All folds in one go: counts by fold and score, then running sums within each fold.
     """
-    from pyspark.sql import Window
-
     by = scored.where("score is not null").groupBy("fold", "score").agg(F.sum("label").cast("long").alias("p"), F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("fold").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     made = by.select("fold", "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("yes"))
@@ -210,41 +208,67 @@ def routed(rows: DataFrame, model: TwoStages, keep: Sequence[str]) -> DataFrame:
 # Importance.
 
 
-def importance(rows: DataFrame, model: scorers.Scorer, key: str, columns: Sequence[str] = ORDER, dominance: float = 0.8) -> DataFrame:
+def importance(rows: DataFrame, model: scorers.Scorer | Sequence[scorers.Scorer], key: str, columns: Sequence[str] = ORDER, dominance: float = 0.8) -> DataFrame:
     """feature, importance (how much the log loss grows when the feature's values are exchanged), share (of all importance) and warning (a share above the dominance hints at a leak).
 
-    One pass: in each batch, a feature's values move along the rows in the order of a digest of key and feature, and the
-    losses are summed there.
+    Of several scorers, a row's fold (column fold, from 0) names its own. Values are exchanged over all rows: each takes
+    those of the row before it in the order of a digest of the key, the first those of the last, however the rows are
+    dealt to tasks. One shuffle, of the features that the scorers ask for; others change no score.
     """
     ship(rows.sparkSession)
-    names = list(columns)
+    names, models = list(columns), [model] if callable(model) else list(model)
+    used = asked(models, len(names))
+    own = [f"own {i}" for i in used]
+    place = F.struct(F.col("place"), F.col("key"))
+    sent = rows.select(
+        F.col("label").cast("double").alias("label"), (F.lit(0) if callable(model) else F.col("fold")).cast("long").alias("fold"), F.xxhash64(key).alias("place"), F.col(key).alias("key"),
+        F.struct(F.lit(0.0).alias("none"), *[F.col(names[i]).cast("double").alias(c) for i, c in zip(used, own, strict=True)]).alias("own"),
+    ).withColumn("range", F.shiftrightunsigned("place", 56).cast("int"))
+    # The last row of each of 256 ranges of the digest goes before the first of the next range. The digest is signed: ranges from 128 on come first, which is as good an order.
+    ends = sent.groupBy("range").agg(F.max_by("own", place).alias("end"))
+    every = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("range", F.coalesce(F.lag("end").over(Window.orderBy("range")), F.last("end").over(every)).alias("end"))
+    other = F.coalesce(F.lag("own").over(Window.partitionBy("range").orderBy("place", "key")), F.col("end"))
+    pairs = sent.join(F.broadcast(ends), "range").select("label", "fold", "own", other.alias("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros(len(names)), 0
         for batch in batches:
-            label, place = batch.column(0).to_numpy(zero_copy_only=False).astype(float), batch.column(1).to_numpy().view(np.uint64)
-            matrix = np.column_stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(names))]).astype(float)
-            loss = lambda x, y=label: -np.log(np.clip(np.where(y > 0, p := model(x), 1 - p), 1e-12, 1)).sum()
-            before = loss(matrix)
+            label, fold = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            of = lambda first: [batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(len(used))]  # noqa: B023, E731
             count += batch.num_rows
-            for j in range(len(names)):
-                own = matrix[:, j].copy()
-                if (own == own[0]).all():
+            before, after = of(2), of(2 + len(used))
+            for m, scorer in enumerate(models):
+                here = np.flatnonzero(fold == m) if len(models) > 1 else np.arange(batch.num_rows)
+                if not len(here):
                     continue
-                order = np.argsort((place ^ np.uint64(j * 0x9E3779B97F4A7C15 & 2**64 - 1)) * np.uint64(0xBF58476D1CE4E5B9), kind="stable")
-                matrix[order, j] = np.roll(own[order], 1)
-                total[j] += loss(matrix) - before
-                matrix[:, j] = own
+                matrix = np.zeros((len(here), len(names)))
+                for i, values in zip(used, before, strict=True):
+                    matrix[:, i] = values[here]
+                loss = lambda x, y, f=scorer: -np.log(np.clip(np.where(y > 0, p := f(x), 1 - p), 1e-12, 1))
+                plain = loss(matrix, label[here])
+                for i, values in zip(used, after, strict=True):
+                    if len(moved := np.flatnonzero(matrix[:, i] != values[here])):
+                        changed = matrix[moved]
+                        changed[:, i] = values[here][moved]
+                        total[i] += (loss(changed, label[here][moved]) - plain[moved]).sum()
         if count:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total), pa.array(np.full(len(names), count))], names=["feature", "grown", "n"])
 
-    sent = rows.select(F.col("label").cast("double"), F.xxhash64(key), *[F.col(c).cast("double").alias(f"feature {i}") for i, c in enumerate(names)])
-    by = sent.mapInArrow(run, "feature string, grown double, n long").groupBy("feature").agg(F.greatest(F.sum("grown") / F.sum("n"), F.lit(0.0)).alias("importance"))
+    flat = pairs.select("label", "fold", *[F.col(f"{side}.`{c}`").alias(f"{side} {c}") for side in ("own", "other") for c in own])
+    by = flat.mapInArrow(run, "feature string, grown double, n long").groupBy("feature").agg(F.greatest(F.sum("grown") / F.sum("n"), F.lit(0.0)).alias("importance"))
     whole = by.agg(F.sum("importance").alias("whole"))  # one row a feature
     share = F.coalesce(F.col("importance") / F.nullif(F.col("whole"), F.lit(0.0)), F.lit(0.0))
     return by.join(F.broadcast(whole)).select("feature", "importance", share.alias("share"), (share > dominance).alias("warning"))
 
 
+def asked(models: Sequence[scorers.Scorer], count: int) -> list[int]:
+    """The features that any of the scorers may look at: all, but for trees, whose nodes say which."""
+    if not all(isinstance(m, scorers.Flat) for m in models):
+        return list(range(count))
+    return sorted({int(i) for m in models for i in m.feature if i >= 0})
+
+
 # Focal loss.
 
 
