@@ -76,15 +76,10 @@ def t_early_stop(spark, sf):
 @query("t_cross_validated")
 def t_cross_validated(spark, sf):
     """Folds of all candidates at their own thresholds, and a last row (fold null) of the model of all rows at their mean."""
-    rows = dataset.folds(labelled(spark, sf, COLUMNS), FOLDS, ["label"], "id")
-    made = training.cross_validated(rows, FOLDS, "id", COLUMNS, ROUNDS, DEPTH)
-    whole = scorers.with_scores(rows, {"whole": made.model}, COLUMNS).select(F.lit(None).cast("long").alias("fold"), "label", F.col("scores.whole").alias("score"))
-    yes = F.col("score") >= made.threshold
-    label = F.col("label") == 1
-    last = whole.groupBy("fold").agg(F.lit(made.threshold).alias("threshold"), F.count_if(label & yes).alias("tp"), F.count_if(~label & yes).alias("fp"), F.count_if(~label & ~yes).alias("tn"), F.count_if(label & ~yes).alias("fn"))
-    precision, recall = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
-    last = last.withColumns({"precision": precision, "recall": recall})
-    return made.folds.unionByName(last.withColumn("f1", training.evaluation.f1(F.col("precision"), F.col("recall"))))
+    rows = labelled(spark, sf, COLUMNS).persist()
+    made = training.cross_validated(dataset.folds_in_place(rows, FOLDS, ["label"], "id"), FOLDS, "id", COLUMNS, ROUNDS, DEPTH)
+    rows.unpersist()
+    return made.folds.unionByName(made.total)
 
 
 @query(
