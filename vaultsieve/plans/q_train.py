@@ -108,10 +108,10 @@ def t_two_stages(spark, sf):
 @query("t_importance")
 def t_importance(spark, sf):
     """Every feature's importance over all candidates, its share and whether it says so much that it may be a leak. Each half of the candidates is judged by a model of the other half; all 65 features take part, those that the label is made of too."""
-    rows = dataset.folds(labelled(spark, sf), 2, ["label"], "id")
-    vectors = training.assembled(rows, keep=("id", "fold"))
-    models = training.side_by_side(spark, 2, lambda fold: scorers.flat(training.boosted(vectors.where(F.col("fold") != fold), ROUNDS, DEPTH, 0.3)))
-    plain = vectors.withColumn("x", vector_to_array("features")).select("id", "fold", "label", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(features.ORDER)])
+    vectors = training.assembled(labelled(spark, sf), keep=("id",))
+    rows = dataset.folds_in_place(vectors, 2, ["label"], "id")
+    models = training.side_by_side(spark, 2, lambda fold: scorers.flat(training.boosted(rows.where(F.col("fold") != fold), ROUNDS, DEPTH, 0.3)))
+    plain = rows.withColumn("x", vector_to_array("features")).select("id", "fold", "label", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(features.ORDER)])
     made = training.importance(plain, models, "id").collect()  # one row a feature
     vectors.unpersist()
     return spark.createDataFrame(made, "feature string, importance double, share double, warning boolean")
